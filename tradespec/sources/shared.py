@@ -1,0 +1,29 @@
+"""Where intermediate tables may be written."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+_SETTING = "spark.checkpoint.dir"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints.
+
+    On a cluster it must be set there, because every executor has to reach it.
+    Only a local session falls back to a folder of its own.
+    """
+    named = spark.conf.get(_SETTING, None)
+    if named:
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tradespec-")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
