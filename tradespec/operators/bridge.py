@@ -23,13 +23,14 @@ def with_product_codes(bridge: DataFrame, heading: str = "sh4") -> DataFrame:
 
 
 def product_activities(bridge: DataFrame) -> DataFrame:
-    """One row per product and activity code, codes that are no numbers dropped."""
+    """One row per product and activity code, without the activities that are no
+    numbers and the rows without a product code."""
     activity = F.explode(F.split("cnae_raw", ";"))
     return (
         with_product_codes(bridge)
         .select("ncm8", "sh4", "ncm_descricao", activity.alias("activity"))
         .select("ncm8", "sh4", "ncm_descricao", strip_code_marks("activity").alias("cnae7"))
-        .where(all_digits("cnae7"))
+        .where(all_digits("cnae7") & F.col("ncm8").isNotNull())
     )
 
 

@@ -328,10 +328,7 @@ ORACLE_SQL: dict[str, str] = {
     "src1_exports_csv": _ALL_EXPORTS,
     "src2_country_product_csv": over(
         "country_product",
-        f"""SELECT country_id, country_iso3_code, product_id, product_hs92_code, "year",
-        export_value, import_value,
-        {_rounded("global_share", "export_rca", "distance", "cog", "pci")}
-        FROM country_product""",
+        "SELECT * FROM country_product",
     ),
     "src3_trade_records_csv": over(
         "trade_records",

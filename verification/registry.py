@@ -86,10 +86,7 @@ def _(spark, folder):
 @query("src2_country_product_csv")
 def _(spark, folder):
     path = _written(spark, star.country_product(spark, folder), "country_product")
-    return _r6(
-        readers.read_country_product(spark, path),
-        "global_share", "export_rca", "distance", "cog", "pci",
-    )
+    return readers.read_country_product(spark, path)
 
 
 @query("src3_trade_records_csv")
