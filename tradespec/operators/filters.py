@@ -39,11 +39,12 @@ def members(
     """Keep rows whose ``column`` is among ``values``.
 
     A list becomes an IN filter that reaches the scan. A list too long to live
-    in a query plan comes as a one-column DataFrame and becomes a semi join.
+    in a query plan comes as a one-column DataFrame and becomes a semi join; its
+    duplicates go first, since that side of the join cannot be split by key.
     """
     if isinstance(values, DataFrame):
         (key,) = values.columns
-        wanted = values.select(F.col(key).alias(column))
+        wanted = values.select(F.col(key).alias(column)).distinct()
         return df.join(wanted, column, "left_semi")
     return df.where(in_list(column, values)) if values else df
 

@@ -64,6 +64,10 @@ class RecordFilter:
         return found
 
 
+# The ready-made query of one year without second partners.
+ONE_YEAR_2023 = RecordFilter(partner2Code="0")
+
+
 def _matches(column: str, value: str) -> Column:
     wanted = [part.strip() for part in value.split(",")]
     if column == "period":

@@ -17,17 +17,23 @@ def three_source_table(
     (one row for each) and the national export sum of its product and year."""
     products = four_digit_codes(country_product, "product_hs92_code")
     records = four_digit_codes(trade_records, "cmdCode")
-    with_records = left_join_many(
+    # The national sums go to the products before the records multiply the
+    # rows: the keys are the products' own, and the large result of the record
+    # join is then not shuffled again.
+    with_sums = left_join_one(
         products,
-        records,
-        ("product_hs92_code", names.YEAR, "country_iso3_code"),
-        ("cmdCode", "refYear", "reporterISO"),
-        "_comtrade",
-    )
-    return left_join_one(
-        with_records,
         exports_by_code_and_year(exports),
         ("product_hs92_code", names.YEAR),
         (names.CODE, names.YEAR),
         "_comexstat",
     )
+    joined = left_join_many(
+        with_sums,
+        records,
+        ("product_hs92_code", names.YEAR, "country_iso3_code"),
+        ("cmdCode", "refYear", "reporterISO"),
+        "_comtrade",
+    )
+    sums = [c for c in with_sums.columns if c not in products.columns]
+    others = [c for c in joined.columns if c not in sums]
+    return joined.select(*others, *sums)

@@ -26,13 +26,13 @@ def read_payload_rows(
         T.StructType.fromDDL(row_schema) if isinstance(row_schema, str) else row_schema
     )
     rows = T.ArrayType(row_type)
+    wrapped = T.StructType([T.StructField("list", rows)])
     # Reading `data` as text accepts an object and an array alike.
     payloads = spark.read.json(path, schema="data STRING", multiLine=multi_line)
-    listed = F.from_json(F.get_json_object("data", "$.list"), rows)
-    direct = F.when(F.ltrim("data").startswith("["), F.from_json("data", rows))
-    return payloads.select(F.explode(F.coalesce(listed, direct)).alias("row")).select(
-        "row.*"
-    )
+    found = F.when(
+        F.ltrim("data").startswith("["), F.from_json("data", rows)
+    ).otherwise(F.from_json("data", wrapped)["list"])
+    return payloads.select(F.explode(found).alias("row")).select("row.*")
 
 
 def list_tables(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[str]:
