@@ -1,5 +1,6 @@
 """What the physical plans must look like, whatever the data size."""
 
+import contextlib
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.helpers import EXPORTS, explain
 from tradespec import comparison_table, legacy_comparison_table, three_source_table
 from tradespec.operators.filters import Selection, latest
+from tradespec.operators.joins import left_join_many
 from tradespec.operators.rca import entity_rca, selection_rca
 from tradespec.operators.summaries import heading_shares, lump_small, product_exports, top
 from tradespec.plans.comparison import comparison_view
@@ -98,11 +100,56 @@ def test_top_products_need_no_full_sort(stored):
 
 
 def test_hot_keys_of_the_record_join_can_be_split(stored, spark):
-    """The join that meets the records is an inner join, whose sides both split."""
+    """The records meet an inner join, both sides of which can be split; the anti
+    join only meets their distinct keys."""
     records = stored["exports"].select(
         F.col("headingCode").alias("cmdCode"),
         F.col("year").cast("long").alias("refYear"),
-        F.col("state").alias("reporterISO"),
+        F.regexp_replace("state", "S", "C").alias("reporterISO"),
+        F.col("metricFOB").alias("primaryValue"),
     )
-    plan = explain(three_source_table(stored["countries"], records, stored["exports"]), "simple")
-    assert "Inner" in plan and "LeftAnti" in plan
+    # As with tables too large to broadcast.
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        table = three_source_table(stored["countries"], records, stored["exports"])
+        plan = explain(table)
+    assert "SortMergeJoin Inner" in plan and "SortMergeJoin LeftAnti" in plan
+
+
+@contextlib.contextmanager
+def settings(spark, **values):
+    before = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_a_third_of_the_records_under_one_key_is_split(spark):
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+        F.concat(F.lit("k"), F.col("id") % 97)
+    )
+    records = spark.range(0, 60000, numPartitions=8).select(key.alias("k"), "id")
+    left = spark.range(0, 100).select(
+        F.when(F.col("id") == 99, F.lit("hot"))
+        .otherwise(F.concat(F.lit("k"), F.col("id")))
+        .alias("key"),
+        F.col("id").alias("n"),
+    )
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    with settings(spark, **small):
+        joined = left_join_many(left, records, ("key",), ("k",), "_r")
+        rows = joined.collect()
+        plan = explain(joined)
+    assert "SortMergeJoin(skew=true) Inner" in plan
+    assert len(rows) == 60000 + 2  # k97 and k98 have no records
+    assert sum(r["key"] == "hot" for r in rows) == 20000
+    assert sorted(r["key"] for r in rows if r["id"] is None) == ["k97", "k98"]

@@ -8,25 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _prepare(
     left: DataFrame,
     right: DataFrame,
-    left_on: Sequence[str],
     right_on: Sequence[str],
     suffix: str,
-) -> tuple[DataFrame, list[str], list[Column]]:
-    """Right side without name clashes, its key columns, and the join condition."""
+) -> tuple[DataFrame, list[str]]:
+    """Right side without name clashes, and the names its keys now have."""
     keys = [f"__key{i}" for i in range(len(right_on))]
     renames = dict(zip(right_on, keys))
     for name in right.columns:
         if name in left.columns and name not in right_on:
             renames[name] = f"{name}{suffix}"
-    condition = [F.col(a) == F.col(k) for a, k in zip(left_on, keys)]
-    return right.withColumnsRenamed(renames), keys, condition
+    return right.withColumnsRenamed(renames), keys
 
 
 def left_join_many(
@@ -42,9 +40,11 @@ def left_join_many(
     tasks, because each part would report its own missing match. So the matches
     come from an inner join, where adaptive execution splits hot keys on either
     side, and the rows without a match from an anti join against the distinct
-    keys, which are reduced within each task before they move.
+    keys, which are reduced within each task before they move. The price is a
+    second read of the left side and of the right side's key columns.
     """
-    prepared, keys, condition = _prepare(left, right, left_on, right_on, suffix)
+    prepared, keys = _prepare(left, right, right_on, suffix)
+    condition = [F.col(a) == F.col(k) for a, k in zip(left_on, keys)]
     matched = left.join(prepared, condition, "inner").drop(*keys)
     known = prepared.select(*keys).distinct()
     unmatched = left.join(known, condition, "left_anti")
@@ -62,5 +62,6 @@ def left_join_one(
 
     Only left keys can be hot then, and a left outer join splits those.
     """
-    prepared, keys, condition = _prepare(left, right, left_on, right_on, suffix)
+    prepared, keys = _prepare(left, right, right_on, suffix)
+    condition = [F.col(a) == F.col(k) for a, k in zip(left_on, keys)]
     return left.join(prepared, condition, "left").drop(*keys)

@@ -18,6 +18,9 @@ SCALE_SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
+    # The reports have many small stages; by default only 100 compiled ones are
+    # kept and a session that alternates between reports compiles them anew.
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 
