@@ -25,6 +25,9 @@ def min_max(
     values are skipped in the bounds and stay missing. With ``coerce``, text
     columns are read as numbers where they are numbers, and a column without
     any number is normalized to 0.0 throughout.
+
+    Bounds and values are two evaluations of ``df``. If it adds up doubles, the
+    two may differ in the last bit, so results are kept within 0 and 1.
     """
     numeric = {c: to_number(c) if coerce else nan_to_null(c) for c in columns}
     bounds = df.agg(
@@ -42,6 +45,11 @@ def min_max(
         if coerce:
             flat = flat | low.isNull()
         scaled = F.try_divide(x - low, high - low)
-        added[f"{c}{suffix}"] = F.when(flat, F.lit(0.0)).otherwise(scaled)
+        added[f"{c}{suffix}"] = (
+            F.when(flat, F.lit(0.0))
+            .when(scaled < 0, F.lit(0.0))
+            .when(scaled > 1, F.lit(1.0))
+            .otherwise(scaled)
+        )
     # One struct column, so that the subquery is planned once.
     return df.withColumn(_BOUNDS, bounds).withColumns(added).drop(_BOUNDS)

@@ -1,6 +1,9 @@
 """SQL equivalents of the registered queries, written without looking at plans.
 
-Each text runs on its own over the given parquet tables.
+Each text runs on its own over the given parquet tables. Computed doubles are
+compared at single precision: the engines add up in different orders, and exact
+halves, which means of small fractions often are, would then round either way.
+Rounding to twelve digits first only turns what should be 0 into 0.
 """
 
 from __future__ import annotations
@@ -174,8 +177,9 @@ comparison AS (
 )
 
 
-def _rounded(*columns: str) -> str:
-    return ", ".join(f'round("{c}", 6) AS "{c}"' for c in columns)
+def _single(*columns: str) -> str:
+    """Columns at single precision."""
+    return ", ".join(f'CAST(CAST(round("{c}", 12) AS FLOAT) AS DOUBLE) AS "{c}"' for c in columns)
 
 
 _METRIC_COLUMNS = (
@@ -271,11 +275,11 @@ shares AS (SELECT *, "metricFOB" * 1.0e0 / (SELECT sum("metricFOB") FROM pairs)
 
 def _lumped(threshold: str, percent: str) -> str:
     return f"""
-SELECT heading, state, "metricFOB", round(percentage, 6) AS percentage
+SELECT heading, state, "metricFOB", CAST(CAST(round(percentage, 12) AS FLOAT) AS DOUBLE) AS percentage
 FROM shares WHERE percentage >= {threshold}
 UNION ALL
 SELECT 'Demais/Outros (< {percent}%)', 'Agregado', CAST(sum("metricFOB") AS BIGINT),
-       round(sum("metricFOB") * 1.0e0 / (SELECT sum("metricFOB") FROM pairs), 6)
+       CAST(CAST(round(sum("metricFOB") * 1.0e0 / (SELECT sum("metricFOB") FROM pairs), 12) AS FLOAT) AS DOUBLE)
 FROM shares WHERE percentage < {threshold} HAVING count(*) > 0"""
 
 
@@ -422,7 +426,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "flt9_positive_rca": over(
         "exports",
-        """SELECT "headingCode", round("VCR_Ceara_Brasil", 6) AS "VCR_Ceara_Brasil"
+        """SELECT "headingCode", CAST(CAST(round("VCR_Ceara_Brasil", 12) AS FLOAT) AS DOUBLE) AS "VCR_Ceara_Brasil"
         FROM rca WHERE "VCR_Ceara_Brasil" > 0""",
         _rca(),
     ),
@@ -511,12 +515,12 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "jn2_rca_joined_to_metrics": over(
         "exports country_product",
-        f'SELECT "headingCode", heading, {_rounded(*_METRIC_COLUMNS)} FROM joined',
+        f'SELECT "headingCode", heading, {_single(*_METRIC_COLUMNS)} FROM joined',
         _JOINED,
     ),
     "jn3_reference_joined_to_metrics": over(
         "exports country_product",
-        f'SELECT "headingCode", heading, {_rounded(*_METRIC_COLUMNS)} FROM base',
+        f'SELECT "headingCode", heading, {_single(*_METRIC_COLUMNS)} FROM base',
         _MIXED + "," + _legacy("mixed"),
     ),
     "jn4_attach_codes": over(
@@ -529,8 +533,8 @@ ORACLE_SQL: dict[str, str] = {
     "jn5_local_and_baseline_share": over(
         "exports",
         """SELECT sp.state, sp."headingCode", CAST(sp.v AS BIGINT) AS "metricFOB",
-        round(sp.v * 1.0e0 / st.v, 6) AS local_share,
-        round(bp.v * 1.0e0 / (SELECT sum("metricFOB") FROM exports), 6) AS baseline_share
+        CAST(CAST(round(sp.v * 1.0e0 / st.v, 12) AS FLOAT) AS DOUBLE) AS local_share,
+        CAST(CAST(round(bp.v * 1.0e0 / (SELECT sum("metricFOB") FROM exports), 12) AS FLOAT) AS DOUBLE) AS baseline_share
         FROM (SELECT state, "headingCode", sum("metricFOB") AS v FROM exports GROUP BY 1, 2) sp
         LEFT JOIN (SELECT state, sum("metricFOB") AS v FROM exports GROUP BY 1) st
           ON sp.state = st.state
@@ -539,7 +543,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "jn6_attach_descriptions": over(
         "exports",
-        """SELECT rca."headingCode", round("VCR_Ceara_Brasil", 6) AS "VCR_Ceara_Brasil",
+        """SELECT rca."headingCode", CAST(CAST(round("VCR_Ceara_Brasil", 12) AS FLOAT) AS DOUBLE) AS "VCR_Ceara_Brasil",
         heading FROM rca LEFT JOIN headings ON rca."headingCode" = headings."headingCode" """,
         _rca() + "," + _NAMES,
     ),
@@ -563,7 +567,7 @@ ORACLE_SQL: dict[str, str] = {
     "jn9_scalar_total": over(
         "exports",
         """SELECT state, CAST(sum("metricFOB") AS BIGINT) AS "metricFOB",
-        round(sum("metricFOB") * 1.0e0 / (SELECT sum("metricFOB") FROM exports), 6) AS share
+        CAST(CAST(round(sum("metricFOB") * 1.0e0 / (SELECT sum("metricFOB") FROM exports), 12) AS FLOAT) AS DOUBLE) AS share
         FROM exports GROUP BY state""",
     ),
     "jn10_semi_join": over(
@@ -590,18 +594,18 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "ag4_country_rca": over(
         "country_product",
-        f'SELECT "headingCode", {_rounded("VCR_Brasil_Mundo")} FROM metrics',
+        f'SELECT "headingCode", {_single("VCR_Brasil_Mundo")} FROM metrics',
         _metrics(),
     ),
     "ag4_country_rca_of_one_country": over(
         "country_product",
         """SELECT substr(product_hs92_code, 1, 4) AS "headingCode",
-        round(avg(export_rca), 6) AS "VCR_Brasil_Mundo"
+        CAST(CAST(round(avg(export_rca), 12) AS FLOAT) AS DOUBLE) AS "VCR_Brasil_Mundo"
         FROM country_product WHERE country_iso3_code = 'N03' GROUP BY 1""",
     ),
     "ag5_complexity_and_distance": over(
         "country_product",
-        f'SELECT "headingCode", {_rounded("PCI", "Distancia_Parceiros")} FROM metrics',
+        f'SELECT "headingCode", {_single("PCI", "Distancia_Parceiros")} FROM metrics',
         _metrics(),
     ),
     "ag6_country_year_summary": over(
@@ -609,22 +613,22 @@ ORACLE_SQL: dict[str, str] = {
         """SELECT country_iso3_code, "year",
         CAST(sum(export_value) AS BIGINT) AS export_value,
         CAST(sum(import_value) AS BIGINT) AS import_value,
-        round(avg(global_share), 6) AS global_share, round(avg(export_rca), 6) AS export_rca,
-        round(avg(distance), 6) AS distance, round(avg(cog), 6) AS cog,
-        round(avg(pci), 6) AS pci, count(product_id) AS product_id
+        CAST(CAST(round(avg(global_share), 12) AS FLOAT) AS DOUBLE) AS global_share, CAST(CAST(round(avg(export_rca), 12) AS FLOAT) AS DOUBLE) AS export_rca,
+        CAST(CAST(round(avg(distance), 12) AS FLOAT) AS DOUBLE) AS distance, CAST(CAST(round(avg(cog), 12) AS FLOAT) AS DOUBLE) AS cog,
+        CAST(CAST(round(avg(pci), 12) AS FLOAT) AS DOUBLE) AS pci, count(product_id) AS product_id
         FROM country_product GROUP BY 1, 2""",
     ),
     "ag7_ag8_product_exports": over(
         "country_product",
         """SELECT product_hs92_code, CAST(sum(export_value) AS BIGINT) AS total_export,
-        round(avg(pci), 6) AS average_pci,
-        round(sum(export_value) * 1.0e0 / (SELECT sum(export_value) FROM country_product), 6)
+        CAST(CAST(round(avg(pci), 12) AS FLOAT) AS DOUBLE) AS average_pci,
+        CAST(CAST(round(sum(export_value) * 1.0e0 / (SELECT sum(export_value) FROM country_product), 12) AS FLOAT) AS DOUBLE)
           AS proportion
         FROM country_product GROUP BY 1""",
     ),
     "ag9_heading_shares": over(
         "exports",
-        """SELECT heading, state, "metricFOB", round(percentage, 6) AS percentage
+        """SELECT heading, state, "metricFOB", CAST(CAST(round(percentage, 12) AS FLOAT) AS DOUBLE) AS percentage
         FROM shares""",
         "chosen AS (SELECT * FROM exports)," + _SHARES,
     ),
@@ -632,8 +636,8 @@ ORACLE_SQL: dict[str, str] = {
     "ag11_value_by_description": over(
         "trade_records",
         """SELECT "cmdDesc", CAST(sum("primaryValue") AS BIGINT) AS "primaryValue",
-        round(sum("primaryValue") * 1.0e0
-              / (SELECT sum("primaryValue") FROM trade_records), 6) AS share
+        CAST(CAST(round(sum("primaryValue") * 1.0e0
+              / (SELECT sum("primaryValue") FROM trade_records), 12) AS FLOAT) AS DOUBLE) AS share
         FROM trade_records GROUP BY 1""",
     ),
     "ag12_exports_by_state": over(
@@ -696,23 +700,23 @@ ORACLE_SQL: dict[str, str] = {
         _RECORDS.format(
             columns=""""reporterISO", "refYear",
             CAST(sum("primaryValue") AS BIGINT) AS "primaryValue",
-            round(sum("netWgt"), 6) AS "netWgt", round(sum(qty), 6) AS qty""",
+            CAST(CAST(round(sum("netWgt"), 12) AS FLOAT) AS DOUBLE) AS "netWgt", CAST(CAST(round(sum(qty), 12) AS FLOAT) AS DOUBLE) AS qty""",
             more='GROUP BY "reporterISO", "refYear"',
         ),
     ),
     # domain operators
     "dom1_entity_rca": over(
-        "exports", f'SELECT "headingCode", {_rounded("VCR_Ceara_Brasil")} FROM rca', _rca()
+        "exports", f'SELECT "headingCode", {_single("VCR_Ceara_Brasil")} FROM rca', _rca()
     ),
     "dom2_selection_rca_one_state": over(
         "exports",
-        """SELECT state, "headingCode", heading, "metricFOB", round("VCR", 6) AS "VCR"
+        """SELECT state, "headingCode", heading, "metricFOB", CAST(CAST(round("VCR", 12) AS FLOAT) AS DOUBLE) AS "VCR"
         FROM selrca WHERE "VCR" > 0""",
         _selection_rca("state = 'NATION_3'", "exports"),
     ),
     "dom2_selection_rca_several_states": over(
         "exports",
-        """SELECT state, "headingCode", heading, "metricFOB", round("VCR", 6) AS "VCR"
+        """SELECT state, "headingCode", heading, "metricFOB", CAST(CAST(round("VCR", 12) AS FLOAT) AS DOUBLE) AS "VCR"
         FROM selrca WHERE "VCR" > 0""",
         _selection_rca(_SEVERAL, "sel"),
     ),
@@ -724,9 +728,9 @@ ORACLE_SQL: dict[str, str] = {
     "dom4_min_max": over(
         "country_product",
         'SELECT "headingCode", '
-        + _rounded("VCR_Brasil_Mundo", "PCI", "Distancia_Parceiros")
+        + _single("VCR_Brasil_Mundo", "PCI", "Distancia_Parceiros")
         + "".join(
-            f', round({_scaled(chr(34) + c + chr(34), "metrics")}, 6) AS "{c}_norm"'
+            f', CAST(CAST(round({_scaled(chr(34) + c + chr(34), "metrics")}, 12) AS FLOAT) AS DOUBLE) AS "{c}_norm"'
             for c in ("VCR_Brasil_Mundo", "PCI", "Distancia_Parceiros")
         )
         + " FROM metrics",
@@ -736,7 +740,7 @@ ORACLE_SQL: dict[str, str] = {
         "exports",
         'SELECT "headingCode", heading, n_rows'
         + "".join(
-            f', round({_scaled_number(c, "texts")}, 6) AS "{n}_NORM"'
+            f', CAST(CAST(round({_scaled_number(c, "texts")}, 12) AS FLOAT) AS DOUBLE) AS "{n}_NORM"'
             for c, n in (
                 ('"headingCode"', "headingCode"), ("heading", "heading"), ("n_rows", "n_rows"),
             )
@@ -767,33 +771,33 @@ texts AS (
     "dom8_linear_priority": over(
         "exports country_product",
         'SELECT "headingCode", '
-        + _rounded("X", "Y", "Z", "AA", "INDICE_PRIORIDADE_AJUSTADO")
+        + _single("X", "Y", "Z", "AA", "INDICE_PRIORIDADE_AJUSTADO")
         + " FROM comparison",
         _COMPARISON,
     ),
     "dom9_nested_priority": over(
         "exports country_product",
-        f'SELECT "headingCode", {_rounded("INDICE_PRIORIDADE_AJUSTADO")} FROM legacy',
+        f'SELECT "headingCode", {_single("INDICE_PRIORIDADE_AJUSTADO")} FROM legacy',
         _legacy("exports"),
     ),
     "dom10_nested_priority_two_rcas": over(
         "exports country_product",
-        """SELECT "headingCode", round(
+        """SELECT "headingCode", CAST(CAST(round(
           ("VCR_Ceara_Brasil_norm" * 0.5e0 + "VCR_Brasil_Mundo_norm" * 0.5e0) * (1 / 1.7e0)
           + "PCI_norm" * (0.3e0 / 1.7e0)
-          + (1 - "Distancia_Parceiros_norm") * (0.4e0 / 1.7e0), 6)
+          + (1 - "Distancia_Parceiros_norm") * (0.4e0 / 1.7e0), 12) AS FLOAT) AS DOUBLE)
           AS "INDICE_PRIORIDADE_AJUSTADO" FROM comparison""",
         _COMPARISON,
     ),
     "dom11_adjusted_rca": over(
         "exports country_product",
-        f'SELECT "headingCode", {_rounded("VCR_AJUSTADO", "VCR_AJUSTADO_NORM")} FROM legacy',
+        f'SELECT "headingCode", {_single("VCR_AJUSTADO", "VCR_AJUSTADO_NORM")} FROM legacy',
         _legacy("exports"),
     ),
     "dom12_comparison_table": over(
         "exports country_product bridge",
         f"""SELECT comparison."headingCode", heading,
-        {_rounded(*_METRIC_COLUMNS, *[c + "_norm" for c in _METRIC_COLUMNS],
+        {_single(*_METRIC_COLUMNS, *[c + "_norm" for c in _METRIC_COLUMNS],
                   "X", "Y", "Z", "AA", "INDICE_PRIORIDADE_AJUSTADO")},
         s AS "Cenário ID", {_SCENARIO_TEXT} AS "Cenário Descrição",
         rollup_codes.ncm8, rollup_codes.cnae_raw
@@ -806,8 +810,8 @@ texts AS (
         """SELECT comparison."headingCode" AS "HS4", heading AS "Produto",
         "Cenário ID" AS "Cenário", rollup_codes.ncm8 AS "NCMs",
         rollup_codes.cnae_raw AS "CNAE",
-        round("INDICE_PRIORIDADE_AJUSTADO", 6) AS "Prioridade",
-        round("VCR_Ceara_Brasil", 6) AS "VCR Est", round("VCR_Brasil_Mundo", 6) AS "VCR Nac"
+        CAST(CAST(round("INDICE_PRIORIDADE_AJUSTADO", 12) AS FLOAT) AS DOUBLE) AS "Prioridade",
+        CAST(CAST(round("VCR_Ceara_Brasil", 12) AS FLOAT) AS DOUBLE) AS "VCR Est", CAST(CAST(round("VCR_Brasil_Mundo", 12) AS FLOAT) AS DOUBLE) AS "VCR Nac"
         FROM comparison
         LEFT JOIN rollup_codes ON comparison."headingCode" = rollup_codes."headingCode"
         WHERE comparison."headingCode" BETWEEN '0005' AND '0045'
@@ -852,7 +856,7 @@ texts AS (
     # reports, sorts, limits, sets
     "srt1_ranked_by_priority": over(
         "exports country_product",
-        f"""SELECT "headingCode", {_rounded("INDICE_PRIORIDADE_AJUSTADO")}
+        f"""SELECT "headingCode", {_single("INDICE_PRIORIDADE_AJUSTADO")}
         FROM comparison ORDER BY 2 DESC""",
         _COMPARISON,
     ),
@@ -877,10 +881,10 @@ texts AS (
         """SELECT product_hs92_code, total_export, average_pci, proportion,
         concat(format('{:.2f}', share * 100.0e0), '%') AS proportion_text
         FROM (SELECT product_hs92_code, CAST(sum(export_value) AS BIGINT) AS total_export,
-              round(avg(pci), 6) AS average_pci,
+              CAST(CAST(round(avg(pci), 12) AS FLOAT) AS DOUBLE) AS average_pci,
               sum(export_value) * 1.0e0 / (SELECT sum(export_value) FROM country_product) AS share,
-              round(sum(export_value) * 1.0e0
-                    / (SELECT sum(export_value) FROM country_product), 6) AS proportion
+              CAST(CAST(round(sum(export_value) * 1.0e0
+                    / (SELECT sum(export_value) FROM country_product), 12) AS FLOAT) AS DOUBLE) AS proportion
               FROM country_product GROUP BY 1)
         ORDER BY total_export DESC, product_hs92_code LIMIT 15""",
     ),
@@ -971,7 +975,7 @@ texts AS (
     "sc13_guarded_division": over(
         "exports",
         """SELECT "metricFOB", CASE WHEN "metricFOB" % 7 = 0 THEN 0.0e0
-        ELSE round("metricFOB" * 1.0e0 / ("metricFOB" % 7), 6) END AS ratio FROM exports""",
+        ELSE CAST(CAST(round("metricFOB" * 1.0e0 / ("metricFOB" % 7), 12) AS FLOAT) AS DOUBLE) END AS ratio FROM exports""",
     ),
     "sc14_round_and_percent": over(
         "exports",

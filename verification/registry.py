@@ -49,9 +49,13 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
-def _r6(df: DataFrame, *columns: str) -> DataFrame:
-    """Doubles are compared with six digits."""
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def _single_of(column: Column | str) -> Column:
+    return F.round(column, 12).cast("float").cast("double")
+
+
+def _single(df: DataFrame, *columns: str) -> DataFrame:
+    """Computed doubles are compared at single precision, see ``oracle``."""
+    return df.withColumns({c: _single_of(c) for c in columns})
 
 
 def _written(spark: SparkSession, df: DataFrame, name: str) -> str:
@@ -307,7 +311,7 @@ def _(spark, folder):
 
 @query("flt9_positive_rca")
 def _(spark, folder):
-    return _r6(
+    return _single(
         filters.positive_values(
             rca.entity_rca(star.exports(spark, folder), star.ENTITY), names.ENTITY_RCA
         ),
@@ -433,7 +437,7 @@ def _(spark, folder):
 def _(spark, folder):
     products = comparison.headings_with_rca(star.exports(spark, folder), star.ENTITY)
     metrics = complexity.product_metrics(star.country_product(spark, folder))
-    return _r6(
+    return _single(
         products.join(metrics, names.CODE, "left"), *names.COMPARISON_METRICS
     )
 
@@ -450,7 +454,7 @@ def _(spark, folder):
     metrics = complexity.product_metrics(
         star.country_product(spark, folder), code_mode="prefix"
     )
-    return _r6(
+    return _single(
         reference.join(metrics, names.CODE, "left"), *names.COMPARISON_METRICS
     )
 
@@ -472,7 +476,7 @@ def _(spark, folder):
         "metricFOB",
         "baseline_share",
     ).drop("metricFOB")
-    return _r6(
+    return _single(
         left_join_one(shares, baseline, ("headingCode",), ("headingCode",), "_base"),
         "local_share", "baseline_share",
     )
@@ -483,7 +487,7 @@ def _(spark, folder):
     exports = star.exports(spark, folder)
     sums = rca.entity_rca(exports, star.ENTITY)
     reference = options.heading_reference(exports)
-    return _r6(
+    return _single(
         left_join_many(sums, reference, ("headingCode",), ("headingCode",), "_ref"),
         names.ENTITY_RCA,
     )
@@ -523,7 +527,7 @@ def _(spark, folder):
 
 @query("jn9_scalar_total")
 def _(spark, folder):
-    return _r6(
+    return _single(
         summaries.add_share(
             summaries.exports_by_state(star.exports(spark, folder)), "metricFOB", "share"
         ),
@@ -566,7 +570,7 @@ def _(spark, folder):
 @query("ag4_country_rca")
 def _(spark, folder):
     rows = complexity.country_rca(star.country_product(spark, folder))
-    return _r6(rows, names.COUNTRY_RCA)
+    return _single(rows, names.COUNTRY_RCA)
 
 
 @query("ag4_country_rca_of_one_country")
@@ -574,30 +578,30 @@ def _(spark, folder):
     rows = complexity.country_rca(
         star.country_product(spark, folder), code_mode="prefix", country=star.COUNTRY
     )
-    return _r6(rows, names.COUNTRY_RCA)
+    return _single(rows, names.COUNTRY_RCA)
 
 
 @query("ag5_complexity_and_distance")
 def _(spark, folder):
     rows = complexity.complexity_and_distance(star.country_product(spark, folder))
-    return _r6(rows, names.PCI, names.DISTANCE)
+    return _single(rows, names.PCI, names.DISTANCE)
 
 
 @query("ag6_country_year_summary")
 def _(spark, folder):
     rows = summaries.country_year_summary(star.country_product(spark, folder))
-    return _r6(rows, "global_share", "export_rca", "distance", "cog", "pci")
+    return _single(rows, "global_share", "export_rca", "distance", "cog", "pci")
 
 
 @query("ag7_ag8_product_exports")
 def _(spark, folder):
     rows = summaries.product_exports(star.country_product(spark, folder))
-    return _r6(rows, "average_pci", "proportion")
+    return _single(rows, "average_pci", "proportion")
 
 
 @query("ag9_heading_shares")
 def _(spark, folder):
-    return _r6(summaries.heading_shares(star.exports(spark, folder)), "percentage")
+    return _single(summaries.heading_shares(star.exports(spark, folder)), "percentage")
 
 
 @query("ag10_codes_per_heading")
@@ -607,7 +611,7 @@ def _(spark, folder):
 
 @query("ag11_value_by_description")
 def _(spark, folder):
-    return _r6(
+    return _single(
         summaries.value_by_description(star.trade_records(spark, folder)), "share"
     )
 
@@ -692,7 +696,7 @@ def _(spark, folder):
         period=None, partnerCode=None, aggregateBy="reporterISO, refYear"
     )
     rows = records.query_records(star.trade_records(spark, folder), spec)
-    return _r6(rows, "netWgt", "qty")
+    return _single(rows, "netWgt", "qty")
 
 
 # --- domain operators ------------------------------------------------------
@@ -701,19 +705,19 @@ def _(spark, folder):
 @query("dom1_entity_rca")
 def _(spark, folder):
     rows = rca.entity_rca(star.exports(spark, folder), star.ENTITY)
-    return _r6(rows, names.ENTITY_RCA)
+    return _single(rows, names.ENTITY_RCA)
 
 
 @query("dom2_selection_rca_one_state")
 def _(spark, folder):
     exports = star.exports(spark, folder)
-    return _r6(rca.selection_rca(ONE_STATE.apply(exports), exports), "VCR")
+    return _single(rca.selection_rca(ONE_STATE.apply(exports), exports), "VCR")
 
 
 @query("dom2_selection_rca_several_states")
 def _(spark, folder):
     exports = star.exports(spark, folder)
-    return _r6(rca.selection_rca(SEVERAL_STATES.apply(exports), exports), "VCR")
+    return _single(rca.selection_rca(SEVERAL_STATES.apply(exports), exports), "VCR")
 
 
 @query("dom3_zero_baseline")
@@ -732,7 +736,7 @@ def _(spark, folder):
     rows = complexity.product_metrics(star.country_product(spark, folder))
     columns = (names.COUNTRY_RCA, names.PCI, names.DISTANCE)
     scaled = normalize.min_max(rows, columns)
-    return _r6(scaled, *columns, *[f"{c}_norm" for c in columns])
+    return _single(scaled, *columns, *[f"{c}_norm" for c in columns])
 
 
 @query("dom5_min_max_of_text")
@@ -748,7 +752,7 @@ def _(spark, folder):
     scaled = normalize.min_max(
         mixed, ("headingCode", "heading", "n_rows"), suffix="_NORM", coerce=True
     )
-    return _r6(scaled, "headingCode_NORM", "heading_NORM", "n_rows_NORM")
+    return _single(scaled, "headingCode_NORM", "heading_NORM", "n_rows_NORM")
 
 
 def _rca_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -792,7 +796,7 @@ def _normalized(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
 def _(spark, folder):
     rows = priority.linear_priority(_normalized(spark, folder, "_norm"))
     kept = ("X", "Y", "Z", "AA", names.PRIORITY)
-    return _r6(rows, *kept).select(names.CODE, *kept)
+    return _single(rows, *kept).select(names.CODE, *kept)
 
 
 @query("dom9_nested_priority")
@@ -804,7 +808,7 @@ def _(spark, folder):
         table, (*names.COMPARISON_METRICS, names.ADJUSTED_RCA), "_NORM", coerce=True
     )
     rows = priority.nested_priority(scaled)
-    return _r6(rows, names.PRIORITY).select(names.CODE, names.PRIORITY)
+    return _single(rows, names.PRIORITY).select(names.CODE, names.PRIORITY)
 
 
 @query("dom10_nested_priority_two_rcas")
@@ -813,7 +817,7 @@ def _(spark, folder):
     rows = priority.nested_priority(
         _normalized(spark, folder, "_NORM"), weights, use_adjusted=False
     )
-    return _r6(rows, names.PRIORITY).select(names.CODE, names.PRIORITY)
+    return _single(rows, names.PRIORITY).select(names.CODE, names.PRIORITY)
 
 
 @query("dom11_adjusted_rca")
@@ -823,7 +827,7 @@ def _(spark, folder):
     table = priority.adjusted_rca(products.join(metrics, names.CODE, "left"))
     scaled = normalize.min_max(table, (names.ADJUSTED_RCA,), "_NORM", coerce=True)
     kept = (names.ADJUSTED_RCA, f"{names.ADJUSTED_RCA}_NORM")
-    return _r6(scaled, *kept).select(names.CODE, *kept)
+    return _single(scaled, *kept).select(names.CODE, *kept)
 
 
 def _comparison(spark: SparkSession, folder: str, with_bridge: bool) -> DataFrame:
@@ -839,7 +843,7 @@ def _comparison(spark: SparkSession, folder: str, with_bridge: bool) -> DataFram
 def _(spark, folder):
     table = _comparison(spark, folder, with_bridge=True)
     doubles = [f.name for f in table.schema.fields if f.dataType == T.DoubleType()]
-    return comparison.comparison_view(_r6(table, *doubles))
+    return comparison.comparison_view(_single(table, *doubles))
 
 
 @query("dom12_comparison_view")
@@ -850,7 +854,7 @@ def _(spark, folder):
     shown = comparison.with_headers(rows, names.COMPARISON_HEADERS)
     return shown.withColumnsRenamed({"VCR Est.": "VCR Est", "VCR Nac.": "VCR Nac"}).select(
         "HS4", "Produto", "Cenário", "NCMs", "CNAE",
-        *[F.round(c, 6).alias(c) for c in ("Prioridade", "VCR Est", "VCR Nac")],
+        *[_single_of(c).alias(c) for c in ("Prioridade", "VCR Est", "VCR Nac")],
     )
 
 
@@ -878,7 +882,7 @@ def _(spark, folder):
 @query("dom15_lump_small_shares")
 def _(spark, folder):
     exports = filters.equal_to(star.exports(spark, folder), "state", star.ENTITY)
-    return _r6(summaries.lump_small(summaries.heading_shares(exports)), "percentage")
+    return _single(summaries.lump_small(summaries.heading_shares(exports)), "percentage")
 
 
 @query("dom16_product_activities")
@@ -922,7 +926,7 @@ def _(spark, folder):
 def _(spark, folder):
     table = _comparison(spark, folder, with_bridge=False)
     return priority.ranked(table).select(
-        names.CODE, F.round(names.PRIORITY, 6).alias(names.PRIORITY)
+        names.CODE, _single_of(names.PRIORITY).alias(names.PRIORITY)
     )
 
 
@@ -948,7 +952,7 @@ def _(spark, folder):
 
 @query("srt4_selection_bars")
 def _(spark, folder):
-    return _r6(
+    return _single(
         selection.selection_bars(star.exports(spark, folder), ONE_STATE), "percentage"
     )
 
@@ -956,7 +960,7 @@ def _(spark, folder):
 @query("top1_top_products")
 def _(spark, folder):
     rows = country.top_products(star.country_product(spark, folder))
-    return _r6(rows, "average_pci", "proportion")
+    return _single(rows, "average_pci", "proportion")
 
 
 @query("lim1_first_rows")
@@ -968,7 +972,7 @@ def _(spark, folder):
 @query("set1_lumped_row_over_all_states")
 def _(spark, folder):
     shares = summaries.heading_shares(star.exports(spark, folder))
-    return _r6(summaries.lump_small(shares, threshold=0.001), "percentage")
+    return _single(summaries.lump_small(shares, threshold=0.001), "percentage")
 
 
 @query("set2_distinct_rows")
@@ -1055,7 +1059,7 @@ def _(spark, folder):
     rows = star.exports(spark, folder)
     divisor = F.col("metricFOB") % 7
     return rows.select(
-        "metricFOB", F.round(numbers.ratio_or_zero("metricFOB", divisor), 6).alias("ratio")
+        "metricFOB", _single_of(numbers.ratio_or_zero("metricFOB", divisor)).alias("ratio")
     )
 
 
