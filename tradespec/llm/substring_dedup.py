@@ -52,15 +52,21 @@ class _Group:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct windows: an index of each, its smallest id, the place of every window."""
-        _, index, place = np.unique(self._pairs(), return_index=True, return_inverse=True)
-        # Windows are in the order of ids, so the first of each has the smallest.
+        order = np.argsort(self.first, kind="stable")
+        first, second = self.first[order], self.second[order]
+        new = np.ones(len(order), bool)
+        new[1:] = first[1:] != first[:-1]
+        if (second[1:] != second[:-1])[~new[1:]].any():
+            # Different windows with one first hash: sort by both.
+            order = np.lexsort((self.second, self.first))
+            first, second = self.first[order], self.second[order]
+            new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        # Windows are in the order of ids, and the sorts keep it among equals.
+        index = order[new]
         return index, self.ids[self.owner[index]], place
 
-    def _pairs(self) -> np.ndarray:
-        pairs = np.empty(len(self.first), [("a", "<u8"), ("b", "<u8")])
-        pairs["a"], pairs["b"] = self.first, self.second
-        return pairs
-
 
 def _cells(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Range and cell within the range of window hashes."""
@@ -158,13 +164,13 @@ def _estimated(group: _Group, sketch: pd.DataFrame, ranges: int):
     index, least, place = group.distinct()
     of, cells = _cells(group.first[index], ranges)
     keys = (of << CELL_BITS) | cells
-    sorted_keys = np.unique(keys)
+    sorted_keys, at = np.unique(keys, return_inverse=True)
     marks = np.zeros(len(sorted_keys), bool)
     edges = np.searchsorted(sorted_keys >> CELL_BITS, np.arange(ranges + 1))
     for r, bits in zip(sketch["r"], sketch["bits"]):
         a, b = edges[r], edges[r + 1]
         marks[a:b] = np.unpackbits(np.frombuffer(zlib.decompress(bits), "u1"), count=b - a)
-    chosen = np.flatnonzero(marks[np.searchsorted(sorted_keys, keys)])
+    chosen = np.flatnonzero(marks[at])
     return index[chosen], least[chosen], (index, least, place, chosen)
 
 
@@ -206,8 +212,9 @@ def _kept(
         ).astype(bool)
     repeated = beaten[place] | (group.ids[group.owner] > least[place])
     cover = np.zeros(group.counts.sum() + 1, np.int64)
-    np.add.at(cover, group.starts[repeated], 1)
-    np.add.at(cover, group.starts[repeated] + size, -1)
+    # Starts are distinct, and so are the places after the windows.
+    cover[group.starts[repeated]] += 1
+    cover[group.starts[repeated] + size] -= 1
     removed = np.cumsum(cover)[:-1] > 0
     ends = np.cumsum(group.counts)
     out = []
