@@ -190,7 +190,9 @@ def candidates(members: DataFrame, runs: int) -> DataFrame:
                 F.col("v").alias("a"), F.col("pivot").alias("b")
             )
         )
-        rest = judged.filter(F.col("alike") < CLOSE)
+        # Where the pivot has a link to all, it connects the bucket and nothing is left.
+        open_ = judged.filter(F.col("alike") < CANDIDATE).select("path").distinct()
+        rest = judged.filter(F.col("alike") < CLOSE).join(open_, "path", "left_semi")
         if split == SPLITS:
             found.append(_in_blocks(rest))
             break
