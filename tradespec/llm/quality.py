@@ -151,7 +151,9 @@ def fit(rows: pd.DataFrame, epochs: int = 300) -> bytes:
     def margin(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
         return weights[at].sum(axis=1) + weights[-1]
 
-    # The classifier behind the prior learns from every other row, and is read on the rest.
+    # The classifier behind the prior learns from half of the rows, and is read on the rest.
+    rng = np.random.default_rng(10)
+    p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
     p1, u1 = p[::2], u[::2]
 
     def against_mix(weights: np.ndarray) -> np.ndarray:

@@ -33,14 +33,15 @@ WINDOW = 13
 #: and bits of a cell number within its range.
 GROUP_BYTES = 6 << 20
 CELL_BITS = 27
-_NO_ID = np.iinfo(np.int64).max
+#: Stands for a missing id while ids are compared.
+_NO_ID = 2**63 - 1
 
 
 class _Group:
     """The windows of a group of documents."""
 
     def __init__(self, rows: pd.DataFrame, size: int, exact: bool):
-        self.ids = rows["doc_id"].fillna(_NO_ID).to_numpy(np.int64)
+        self.ids = rows["doc_id"].to_numpy(np.int64)
         self.order = np.argsort(self.ids, kind="stable")
         self.raw = [rows["text"].iat[i].encode("utf-8", "replace") for i in self.order]
         self.ids = self.ids[self.order]
@@ -229,9 +230,7 @@ def _kept(
     totals = np.concatenate([[0], np.cumsum(removed)])
     return pd.DataFrame(
         {
-            "doc_id": pd.array(
-                [None if i == _NO_ID else i for i in group.ids.tolist()], dtype="Int64"
-            ),
+            "doc_id": group.ids,
             "n_words": lengths,
             "n_removed": totals[ends] - totals[ends - lengths],
             "kept": out,
@@ -252,7 +251,7 @@ def remove_repeated(docs: DataFrame, size: int = WINDOW, with_text: bool = True)
     ranges = max(1, groups // 4)
     dealt = rows.select(
         F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).alias("g"),
-        "doc_id",
+        F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"),
         "text",
     )
     by_group = dealt.groupBy("g")
@@ -279,6 +278,7 @@ def remove_repeated(docs: DataFrame, size: int = WINDOW, with_text: bool = True)
     )
     verdicts = estimated.groupBy("r").applyInPandas(least, "g long, r long, bits binary")
     both = marks.withColumn("kind", F.lit(0)).unionByName(verdicts.withColumn("kind", F.lit(1)))
-    return by_group.cogroup(both.groupBy("g")).applyInPandas(
+    left = by_group.cogroup(both.groupBy("g")).applyInPandas(
         kept, "doc_id long, n_words long, n_removed long, kept string"
     )
+    return left.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
