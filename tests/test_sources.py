@@ -6,7 +6,8 @@ from pyspark.sql import types as T
 
 from tests.helpers import EXPORTS, as_set
 from tradespec.plans import ingest
-from tradespec.sources import landed, readers, schemas, shared, sinks
+from tradespec.sources import landed, readers, schemas, sinks
+from verification import shared
 from tradespec.sources.tables import TradeTables
 
 
@@ -164,4 +165,90 @@ def test_shared_folder_is_the_named_one(spark, monkeypatch):
     assert shared.shared_folder(named) == "hdfs://nn/shared"
     assert shared.new_path(named, "x").startswith("hdfs://nn/shared/x-")
     with pytest.raises(RuntimeError):
-        shared.shared_folder(Session(**{"spark.master": "yarn"}))
+        shared.shared_folder(Session(**{"spark.master": "local-cluster[2,1,1024]"}))
+
+
+RFC_4180 = (
+    "year,state,headingCode,heading,metricFOB\n"
+    '2023,A,4011,"Pneus ""radial"", novos",100\n'
+    '2023,B,4012,"two\nlines",200\n'
+    "2023,C,4013,  kept  ,300\n"
+)
+
+
+def test_doubled_quotes_and_line_breaks_are_read(spark, tmp_path):
+    path = write(tmp_path / "rfc.csv", RFC_4180)
+    rows = readers.read_exports(spark, path, multi_line=True).collect()
+    assert [(r.heading, r.metricFOB) for r in rows] == [
+        ('Pneus "radial", novos', 100),
+        ("two\nlines", 200),
+        ("  kept  ", 300),
+    ]
+    inferred = readers.read_inferred_csv(spark, path, multi_line=True).collect()
+    assert [r.metricFOB for r in inferred] == [100, 200, 300]
+
+
+def test_csv_sinks_keep_texts(spark, tmp_path):
+    import csv
+    import glob
+
+    texts = [' blanks ', 'a "quote"', "comma, here", "plain"]
+    frame = spark.createDataFrame([(t,) for t in texts], "heading string").coalesce(1)
+    sinks.write_csv(frame, str(tmp_path / "out"))
+    (part,) = glob.glob(str(tmp_path / "out" / "part-*"))
+    with open(part, newline="") as file:
+        assert [r[0] for r in csv.reader(file)][1:] == texts
+
+
+def test_payload_numbers_in_quotes_and_many_rows(spark, tmp_path):
+    rows = ",".join(f'{{"year":"2023","metricFOB":{v}}}' for v in ('"123"', "5.0", "7", '"x"', "1.5"))
+    path = write(tmp_path / "p.json", f'{{"data":[{rows}]}}\n{{"data":{{"list":[{rows}]}}}}\n')
+    found = landed.read_payload_rows(spark, path, "year BIGINT, metricFOB BIGINT").collect()
+    assert [r.year for r in found] == [2023] * 10
+    assert [r.metricFOB for r in found] == [123, 5, 7, None, None] * 2
+
+
+def test_overrides_of_columns_that_a_table_lacks(spark, tmp_path):
+    root = tmp_path / "set"
+    root.mkdir()
+    write(root / "a.csv", "code,v\n0101,1\n")
+    write(root / "b.csv", "v\n2\n")
+    from pyspark.sql import types as T
+
+    tables = landed.read_dataset(spark, str(root), overrides={"code": T.StringType()})
+    assert tables["a.csv"].first().code == "0101" and tables["b.csv"].first().v == 2
+
+
+def test_parquet_tables_prune_years(spark, tmp_path):
+    from tests.helpers import explain
+    from tradespec.sources.tables import TradeTables
+
+    exports = spark.createDataFrame(
+        [(2022, "A", "0101", "x", 1), (2023, "B", "0102", "y", 2)], schemas.EXPORTS
+    )
+    other = spark.createDataFrame([], schemas.COUNTRY_PRODUCT)
+    records = spark.createDataFrame([], schemas.TRADE_RECORDS)
+    ingest.write_tables(exports, other, records, str(tmp_path / "t"), "parquet")
+    loaded = TradeTables.load(spark, str(tmp_path / "t"), "parquet")
+    kept = loaded.exports.where("year = 2023 and state = 'B'").select("metricFOB")
+    assert [r.metricFOB for r in kept.collect()] == [2]
+    plan = explain(kept)
+    assert "PartitionFilters: [isnotnull(year" in plan and "EqualTo(state,B)" in plan
+
+
+def test_list_filters_take_the_column_type(spark):
+    from tradespec.operators.filters import members
+
+    frame = spark.createDataFrame([("Ceará",), ("23",)], "state string")
+    assert [r.state for r in members(frame, "state", [23]).collect()] == ["23"]
+
+
+def test_absent_weights_are_zero_and_nan_is_no_money(spark):
+    from tradespec.functions.money import money_text
+    from tradespec.operators.priority import Weights
+
+    assert Weights.named({"entity": 1.0}) == Weights(1.0, 0.0, 0.0, 0.0, 0.0)
+    with pytest.raises(ValueError):
+        Weights.named({"entitiy": 1.0})
+    frame = spark.createDataFrame([(float("nan"),), (2.5e6,)], "v double")
+    assert [r[0] for r in frame.select(money_text("v")).collect()] == [None, "$2,50 Mi"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tradespec import names
 from tradespec.functions.numbers import sum_or_zero
 from tradespec.functions.periods import in_months, parse_month, year_bounds
-from tradespec.operators.filters import in_list
+from tradespec.operators.filters import members
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def cube_query(shipments: DataFrame, spec: CubeSpec) -> DataFrame:
         in_months(names.YEAR, "month", spec.period_from, spec.period_to)
     )
     for column, values in spec.filters.items():
-        rows = rows.where(in_list(column, values))
+        rows = members(rows, column, values)
     keys = [names.YEAR, *(["month"] if spec.month_detail else []), *spec.details]
     if not spec.metrics:
         return rows.select(*keys).distinct()

@@ -46,7 +46,12 @@ def members(
         (key,) = values.columns
         wanted = values.select(F.col(key).alias(column)).distinct()
         return df.join(wanted, column, "left_semi")
-    return df.where(in_list(column, values)) if values else df
+    if not values:
+        return df
+    # The values take the column's type, never the other way round: the filter
+    # stays one that a scan can use, and a value of another type cannot fail.
+    kind = df.schema[column].dataType
+    return df.where(F.col(column).isin([F.lit(v).try_cast(kind) for v in values]))
 
 
 def code_between(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,15 @@ class Weights:
     pci: float = 0.3
     distance: float = 0.4
 
+    @classmethod
+    def named(cls, weights: Mapping[str, float]) -> Weights:
+        """Weights by name; a metric that is not named has weight 0."""
+        fields = cls.__dataclass_fields__
+        unknown = sorted(set(weights) - set(fields))
+        if unknown:
+            raise ValueError(f"no such metrics: {unknown}")
+        return cls(**{name: weights.get(name, 0.0) for name in fields})
+
 
 def linear_priority(
     df: DataFrame, weights: Weights = Weights(), suffix: str = "_norm"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradespec.operators.filters import equal_to, latest
@@ -44,9 +45,28 @@ def write_tables(
     country_product: DataFrame,
     trade_records: DataFrame,
     folder: str,
+    file_format: str = "csv",
 ) -> None:
-    """Write the three tables where :class:`TradeTables` looks for them."""
+    """Write the three tables where :class:`TradeTables` looks for them.
+
+    As Parquet, exports are partitioned by year and records by reference year.
+    """
     root = folder.rstrip("/")
+    if file_format == "parquet":
+        for table, name, by in (
+            (exports, EXPORTS_FILE, "year"),
+            (country_product, COUNTRY_PRODUCT_FILE, None),
+            (trade_records, TRADE_RECORDS_FILE, "refYear"),
+        ):
+            path = f"{root}/{name.removesuffix('.csv')}"
+            if by is None:
+                table.write.parquet(path)
+            else:
+                # A year's rows meet in few tasks, so that it has few files.
+                table.repartition(by, F.pmod(F.xxhash64(*table.columns), F.lit(8))).write.partitionBy(by).parquet(path)
+        return
+    if file_format != "csv":
+        raise ValueError(f"csv or parquet, not {file_format!r}")
     write_csv(exports, f"{root}/{EXPORTS_FILE}")
     write_csv(country_product, f"{root}/{COUNTRY_PRODUCT_FILE}")
     write_csv(trade_records, f"{root}/{TRADE_RECORDS_FILE}")

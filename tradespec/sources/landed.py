@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradespec.sources.readers import read_inferred_csv
+from tradespec.sources.readers import QUOTING, read_inferred_csv
 
 
 def read_payload_rows(
@@ -20,19 +20,34 @@ def read_payload_rows(
     """Rows of JSON payloads: those under ``data.list``, or ``data`` itself.
 
     Both shapes may be mixed in one folder. A payload without data gives no
-    rows. One payload per line by default, one per file with ``multi_line``.
+    rows. One payload per line by default, one per file with ``multi_line``; the
+    rows of a payload are one task's, so a landing step should page its requests.
+
+    Fields arrive as text and are cast: quoted numbers count, whole numbers may be
+    written as ``5.0``, and what does not fit its type becomes null.
     """
     row_type = (
         T.StructType.fromDDL(row_schema) if isinstance(row_schema, str) else row_schema
     )
-    rows = T.ArrayType(row_type)
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in row_type])
+    rows = T.ArrayType(as_text)
     wrapped = T.StructType([T.StructField("list", rows)])
     # Reading `data` as text accepts an object and an array alike.
     payloads = spark.read.json(path, schema="data STRING", multiLine=multi_line)
     found = F.when(
         F.ltrim("data").startswith("["), F.from_json("data", rows)
     ).otherwise(F.from_json("data", wrapped)["list"])
-    return payloads.select(F.explode(found).alias("row")).select("row.*")
+    return payloads.select(F.explode(found).alias("row")).select(
+        *(_typed(F.col("row")[f.name], f.dataType).alias(f.name) for f in row_type)
+    )
+
+
+def _typed(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.IntegralType):
+        exact = text.try_cast("decimal(38,10)")
+        whole = F.when(exact == F.floor(exact), exact).try_cast(kind)
+        return F.coalesce(text.try_cast(kind), whole)
+    return text.try_cast(kind)
 
 
 def list_tables(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[str]:
@@ -60,13 +75,19 @@ def read_dataset(
     overrides: dict[str, T.DataType] | None = None,
     reader: Callable[..., DataFrame] = read_inferred_csv,
 ) -> DataFrame | dict[str, DataFrame]:
-    """CSV tables of a landed data set: the named one, or all of them by name."""
+    """CSV tables of a landed data set: the named one, or all of them by name.
+
+    Read all together, a table takes those overrides whose columns it has.
+    """
     root = folder.rstrip("/")
     if target is not None:
         if not target.endswith(".csv"):
             raise ValueError(f"not a CSV table: {target}")
         return reader(spark, f"{root}/{target}", overrides)
-    return {
-        name: reader(spark, f"{root}/{name}", overrides)
-        for name in list_tables(spark, root)
-    }
+    tables = {}
+    for name in list_tables(spark, root):
+        path = f"{root}/{name}"
+        header = spark.read.csv(path, header=True, **QUOTING).columns
+        own = {c: t for c, t in (overrides or {}).items() if c in header}
+        tables[name] = reader(spark, path, own)
+    return tables

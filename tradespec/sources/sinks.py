@@ -6,9 +6,18 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
+from tradespec.sources.readers import QUOTING
+
+_LOSSLESS = {
+    **QUOTING,
+    "header": True,
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**_LOSSLESS).csv(path)
 
 
 def write_stamped_latin1_csv(
@@ -17,5 +26,5 @@ def write_stamped_latin1_csv(
     """Write ``comtrade_<timestamp>`` in Latin-1 under ``folder``; return its path."""
     stamp = (now or datetime.now()).strftime("%Y%m%d-%H%M%S")
     path = f"{folder.rstrip('/')}/comtrade_{stamp}"
-    df.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    df.write.options(**_LOSSLESS).option("encoding", "ISO-8859-1").csv(path)
     return path

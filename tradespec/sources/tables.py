@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tradespec.sources import schemas
 from tradespec.sources.readers import (
     read_country_product,
     read_exports,
@@ -25,9 +26,27 @@ class TradeTables:
     trade_records: DataFrame
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str) -> TradeTables:
-        """Read all three; Spark raises ``AnalysisException`` if one is missing."""
+    def load(cls, spark: SparkSession, folder: str, file_format: str = "csv") -> TradeTables:
+        """Read all three; Spark raises ``AnalysisException`` if one is missing.
+
+        ``file_format="parquet"`` reads what ``write_tables`` landed in that form:
+        columns and years that a report does not need are then not read.
+        """
         root = folder.rstrip("/")
+        if file_format == "parquet":
+            return cls(
+                *(
+                    # An empty partitioned table has no file that tells its schema.
+                    spark.read.schema(schema).parquet(f"{root}/{name.removesuffix('.csv')}")
+                    for name, schema in (
+                        (EXPORTS_FILE, schemas.EXPORTS),
+                        (COUNTRY_PRODUCT_FILE, schemas.COUNTRY_PRODUCT),
+                        (TRADE_RECORDS_FILE, schemas.TRADE_RECORDS),
+                    )
+                )
+            )
+        if file_format != "csv":
+            raise ValueError(f"csv or parquet, not {file_format!r}")
         return cls(
             exports=read_exports(spark, f"{root}/{EXPORTS_FILE}"),
             country_product=read_country_product(

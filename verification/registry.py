@@ -28,8 +28,9 @@ from tradespec.operators import (
 )
 from tradespec.operators.joins import left_join_many, left_join_one
 from tradespec.plans import comparison, country, ingest, selection, three_source
-from tradespec.sources import landed, readers, schemas, shared, sinks
+from tradespec.sources import landed, readers, schemas, sinks
 from tradespec.sources.tables import TradeTables
+from verification import shared
 from verification import star_views as star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,7 +164,7 @@ def _bridge_file(spark: SparkSession, folder: str, extra: tuple[str, ...] = ())
 
     fields = [quoted(c) for c in ("ncm8_raw", "ncm_descricao", "cnae_raw")]
     lines = rows.select(F.concat_ws(",", *fields, *map(F.lit, extra)).alias("value"))
-    top_lines = rows.limit(1).select(
+    top_lines = spark.range(1).select(
         F.explode(F.array(F.lit("Correspondence table"), F.lit("NCM,DESC,CNAE"))).alias(
             "value"
         )

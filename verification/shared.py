@@ -19,7 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(_SETTING, None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
     return tempfile.mkdtemp(prefix="tradespec-")
 
