@@ -14,8 +14,9 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ MOST_FEATURES = 80_000
 LEAST_WEIGHT = 1.0
 #: A word counts as itself and by its beginnings of these lengths.
 BEGINNINGS = (4, 5)
+#: Entries of the training matrix handled at once.
+_SLICE = 1 << 20
 _SENTENCE = re.compile(r"[.!?]+\s|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,11 +58,54 @@ def features(chunk: str) -> list[str]:
     ]
 
 
-def _bags(text: str) -> list[set[str]]:
-    return [
-        {f for c in text[a:b].lower().split() for f in features(c)}
-        for a, b in sentence_spans(text)
-    ]
+class Bags:
+    """Sentences of many texts as numbered features, each once in a sentence.
+
+    Only numbers are held; features in fewer than ``LEAST_DOCUMENTS`` texts go at the end.
+    """
+
+    def __init__(self, texts: Iterable[str]):
+        number: dict[str, int] = {}
+        chunks = WordCache(lambda c: [number.setdefault(f, len(number)) for f in features(c)])
+        words, sizes, owner, documents = array("i"), array("i"), array("i"), Counter()
+        for doc, text in enumerate(texts):
+            found: set[int] = set()
+            for a, b in sentence_spans(text):
+                bag = set().union(*map(chunks.__getitem__, text[a:b].lower().split()))
+                words.extend(bag)
+                sizes.append(len(bag))
+                owner.append(doc)
+                found |= bag
+            documents.update(found)
+        names = list(number)
+        often = sorted((-n, names[i]) for i, n in documents.items() if n >= LEAST_DOCUMENTS)
+        self.names = sorted(name for _, name in often[:MOST_FEATURES])
+        place = np.full(len(names), -1, np.int32)
+        place[[number[name] for name in self.names]] = np.arange(len(self.names), dtype=np.int32)
+        self.words = place[np.frombuffer(words, np.int32)]
+        self.sentences = np.repeat(np.arange(len(sizes), dtype=np.int32), np.frombuffer(sizes, np.int32))
+        known = self.words >= 0
+        self.words, self.sentences = self.words[known], self.sentences[known]
+        self.owner = np.frombuffer(owner, np.int32).astype(np.int64)
+
+    def _slices(self) -> Iterator[slice]:
+        return (slice(i, i + _SLICE) for i in range(0, len(self.words), _SLICE))
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of its features' weights for every sentence."""
+        out = np.zeros(len(self.owner))
+        for part in self._slices():
+            of, first = self.sentences[part], self.sentences[part.start]
+            found = np.bincount(of - first, weights[self.words[part]])
+            out[first : first + len(found)] += found
+        return out
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """The sum of its sentences' values for every feature."""
+        out = np.zeros(len(self.names))
+        for part in self._slices():
+            out += np.bincount(self.words[part], values[self.sentences[part]], minlength=len(out))
+        return out
 
 
 def fit(rows: pd.DataFrame, epochs: int = 100, rate: float = 0.3, evidence: float = 4.0) -> bytes:
@@ -68,38 +114,28 @@ def fit(rows: pd.DataFrame, epochs: int = 100, rate: float = 0.3, evidence: floa
     A feature is drawn to zero with the pull of ``evidence`` positive documents.
     """
     labels = rows["label"].to_numpy(float)
-    bags = [_bags(t) for t in rows["text"]]
-    seen = Counter(w for doc in bags for w in set().union(*doc))
-    known = [w for w, n in seen.most_common(MOST_FEATURES) if n >= LEAST_DOCUMENTS]
-    index = {w: i for i, w in enumerate(sorted(known))}
-    words, sentences, owner = [], [], []
-    for doc, found in enumerate(bags):
-        for bag in found:
-            ids = [index[w] for w in bag if w in index]
-            words += ids
-            sentences += [len(owner)] * len(ids)
-            owner.append(doc)
-    w, s, o = (np.array(x, np.int64) for x in (words, sentences, owner))
-    weights, bias = np.zeros(len(index)), -6.0
+    bags = Bags(rows["text"])
+    o = bags.owner
+    weights, bias = np.zeros(len(bags.names)), -6.0
     # Adam over the whole sample; moments of the weights and the bias together.
-    first, second = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
+    first, second = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
     share = max(labels.mean(), 1e-6) if len(labels) else 0.5
     weight = np.where(labels > 0, min(5.0, (1 - share) / share), 1.0) if len(labels) else labels
     decay = evidence * (weight.max() if len(labels) else 1.0) / max(len(labels), 1)
     for step in range(1, epochs + 1 if len(o) and 0 < labels.sum() < len(labels) else 1):
-        z = np.bincount(s, weights[w], minlength=len(o)) + bias
+        z = bags.sums(weights) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         left = np.bincount(o, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(labels))
         doc = np.clip(-np.expm1(left), 1e-9, 1 - 1e-9)
         pull = np.where(labels > 0, -(1 - doc) / doc, 1.0) * weight / len(labels)
         dz = p * pull[o]
-        slope = np.append(np.bincount(w, dz[s], minlength=len(index)) + decay * np.sign(weights), dz.sum())
+        slope = np.append(bags.back(dz) + decay * np.sign(weights), dz.sum())
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         weights -= move[:-1]
         bias -= move[-1]
-    kept = {w: float(weights[i]) for w, i in index.items() if abs(weights[i]) >= LEAST_WEIGHT}
+    kept = {f: float(x) for f, x in zip(bags.names, weights) if abs(x) >= LEAST_WEIGHT}
     return pickle.dumps((kept, float(bias)))
 
 
