@@ -36,6 +36,9 @@ HEADLINE = (
     "ag20_aggregate_by",
     "flt5_membership",
     "flt11_record_filter",
+    "src1_exports_csv",
+    "src9_payload_rows",
+    "jn6_attach_descriptions",
     "jn7_three_key_join",
     "top1_top_products",
     "sc1_money_text",

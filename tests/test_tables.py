@@ -7,6 +7,7 @@ from tests.helpers import EXPORTS, as_set, by_key
 from tradespec import names
 from tradespec.operators import bridge, cube, filters, joins, options, records, summaries
 from tradespec.operators.complexity import product_metrics
+from tradespec.plans import trade_records
 
 NAN = float("nan")
 
@@ -337,3 +338,36 @@ def test_record_output_options(frame):
     }
     plain = records.query_records(df, records.RecordFilter(includeDesc=False, maxRecords=1))
     assert "cmdDesc" not in plain.columns and plain.count() == 1
+
+
+def test_cube_needs_city_data_for_cities():
+    assert cube.CubeSpec.by_city(2023, 23).data_type == "cities"
+    with pytest.raises(ValueError):
+        cube.CubeSpec("export", "2023-01", "2023-12", details=("city",))
+    with pytest.raises(ValueError):
+        cube.CubeSpec("export", "2023-01", "2023-12", data_type="other")
+
+
+def test_a_missing_state_counts_as_one_more(frame):
+    count = summaries.number_of_states
+    some = frame("state STRING", ("A",), (None,), ("A",), (None,))
+    assert [tuple(r) for r in count(some).collect()] == [(2, False)]
+    assert [tuple(r) for r in count(some.where("state IS NULL")).collect()] == [(1, True)]
+    assert [tuple(r) for r in count(some.where("state = 'B'")).collect()] == [(0, False)]
+
+
+def test_records_report_orders_shares_of_what_is_chosen(frame):
+    rows = frame(
+        "refYear BIGINT, cmdCode STRING, cmdDesc STRING, primaryValue BIGINT",
+        (2020, "0101", "b", 30),
+        (2020, "0101", "a", 30),
+        (2020, "0102", "c", 40),
+        (2021, "0101", "a", 900),
+        (2020, "0102", "d", None),
+    )
+    report = trade_records.records_report(rows, years=(2020,))
+    assert report["table"].count() == 4
+    got = [(r.cmdDesc, r.primaryValue) for r in report["shares"].collect()]
+    assert got[:3] == [("c", 40), ("a", 30), ("b", 30)]
+    assert trade_records.chosen_records(rows, codes=("0101",)).count() == 3
+    assert trade_records.chosen_records(rows).count() == 5

@@ -90,3 +90,24 @@ LEGACY_HEADERS = {
     "VCR_AJUSTADO_NORM": "VCR Ajustado normalizado",
     "INDICE_PRIORIDADE_AJUSTADO": "Índice de Prioridade Ajustado",
 }
+
+# The two sets of columns that the older table is shown with.
+LEGACY_NORMALIZED = (
+    "Código HS",
+    "Descrição",
+    "VCR estadual normalizada",
+    "VCR país normalizada",
+    "VCR Ajustado normalizado",
+    "PCI normalizado",
+    "distância entre parceiros normalizada",
+    "Índice de Prioridade Ajustado",
+)
+LEGACY_RAW = (
+    "Código HS",
+    "Descrição",
+    "VCR estadual (Bruto)",
+    "VCR país (Bruto)",
+    "VCR Ajustado (Bruto)",
+    "PCI (Bruto)",
+    "distância entre parceiros (Bruto)",
+)

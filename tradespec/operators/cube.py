@@ -16,7 +16,11 @@ from tradespec.operators.filters import members
 
 @dataclass(frozen=True)
 class CubeSpec:
-    """Flow, inclusive months, filters, grouping details and summed metrics."""
+    """Flow, inclusive months, filters, grouping details and summed metrics.
+
+    ``data_type`` says which data the shipments are: ``general`` has no cities,
+    ``cities`` has one on every row.
+    """
 
     flow: str
     period_from: str
@@ -25,10 +29,15 @@ class CubeSpec:
     details: tuple[str, ...] = ()
     metrics: tuple[str, ...] = ()
     month_detail: bool = False
+    data_type: str = "general"
 
     def __post_init__(self) -> None:
         if self.flow not in ("export", "import"):
             raise ValueError(f"flow is 'export' or 'import', not {self.flow!r}")
+        if self.data_type not in ("general", "cities"):
+            raise ValueError(f"data_type is 'general' or 'cities', not {self.data_type!r}")
+        if self.data_type == "general" and "city" in {*self.details, *self.filters}:
+            raise ValueError("general data has no cities")
         parse_month(self.period_from)
         parse_month(self.period_to)
 
@@ -43,6 +52,7 @@ class CubeSpec:
             filters={"state": (state,)},
             details=("city",),
             metrics=("metricFOB", "metricKG", "metricCIF"),
+            data_type="cities",
         )
 
 

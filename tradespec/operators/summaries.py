@@ -131,6 +131,14 @@ def lump_small(
     )
 
 
+def number_of_states(exports: DataFrame) -> DataFrame:
+    """One row: how many states there are, a missing state counting as one more,
+    and whether it is a single one."""
+    missing = F.coalesce(F.max(F.col(names.STATE).isNull().cast("int")), F.lit(0))
+    states = F.count_distinct(names.STATE) + missing
+    return exports.agg(states.alias("states"), (states == 1).alias("one_state"))
+
+
 def value_by_description(trade_records: DataFrame) -> DataFrame:
     """Primary value and its share per product description."""
     per_text = totals_by(trade_records, ("cmdDesc",), ("primaryValue",))

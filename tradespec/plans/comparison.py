@@ -130,13 +130,19 @@ def legacy_comparison_table(
     )
 
 
-def legacy_view(table: DataFrame) -> DataFrame:
+def missing_as_text(df: DataFrame) -> DataFrame:
+    """All columns as text, missing cells as ``names.MISSING_TEXT``."""
+    missing = F.lit(names.MISSING_TEXT)
+    return df.select(
+        [F.coalesce(F.col(f"`{c}`").cast("string"), missing).alias(c) for c in df.columns]
+    )
+
+
+def legacy_view(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Ranked, with display names, missing cells as text.
 
-    Sorting comes first: as soon as a column holds the text it is no number.
+    ``columns`` are the display names to show: ``names.LEGACY_NORMALIZED``,
+    ``names.LEGACY_RAW``, or all. Sorting comes first: as soon as a column holds the text it is no number.
     """
     named = with_headers(ranked(table), names.LEGACY_HEADERS)
-    missing = F.lit(names.MISSING_TEXT)
-    return named.select(
-        [F.coalesce(F.col(f"`{c}`").cast("string"), missing).alias(c) for c in named.columns]
-    )
+    return missing_as_text(named.select([F.col(f"`{c}`") for c in columns or named.columns]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradespec.sources import schemas
 from tradespec.sources.readers import (
@@ -25,6 +26,22 @@ class TradeTables:
     country_product: DataFrame
     trade_records: DataFrame
 
+    def consistent(self) -> TradeTables:
+        """The same tables with years as integers, codes as text and the value as a
+        double; a cell that does not fit becomes null, other columns stay."""
+
+        def cast(df: DataFrame, **types: str) -> DataFrame:
+            return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
+
+        return TradeTables(
+            cast(self.exports, year="bigint", headingCode="string", metricFOB="double"),
+            cast(
+                self.country_product,
+                year="bigint", product_hs92_code="string", country_iso3_code="string",
+            ),
+            cast(self.trade_records, refYear="bigint", cmdCode="string", reporterISO="string"),
+        )
+
     @classmethod
     def load(cls, spark: SparkSession, folder: str, file_format: str = "csv") -> TradeTables:
         """Read all three; Spark raises ``AnalysisException`` if one is missing.

@@ -498,11 +498,16 @@ ORACLE_SQL: dict[str, str] = {
         _MIXED,
     ),
     "prj10_consistent_types": over(
-        "trade_records",
-        """SELECT try_cast("cmdCode" AS DOUBLE) AS code_number,
-        try_cast("cmdDesc" AS DOUBLE) AS text_number,
-        CAST("refYear" AS VARCHAR) AS year_text, count(*) AS n_rows
-        FROM trade_records GROUP BY 1, 2, 3""",
+        "exports country_product trade_records",
+        """SELECT 'exports' AS source, CASE WHEN "year" % 5 <> 0 THEN "year" END AS "year",
+        CAST(try_cast("headingCode" AS BIGINT) AS VARCHAR) AS code, count(*) AS n_rows
+        FROM exports GROUP BY 1, 2, 3
+        UNION ALL
+        SELECT 'country_product', CASE WHEN "year" % 5 <> 0 THEN "year" END,
+        product_hs92_code, count(*) FROM country_product GROUP BY 1, 2, 3
+        UNION ALL
+        SELECT 'trade_records', "refYear", CAST(try_cast("cmdCode" AS BIGINT) AS VARCHAR),
+        count(*) FROM trade_records GROUP BY 1, 2, 3""",
     ),
     # joins
     "jn1_entity_and_whole_sums": over(
@@ -553,7 +558,7 @@ ORACLE_SQL: dict[str, str] = {
         r."flowCode", r."partnerCode", r.qty, r."primaryValue"
         FROM country_product c LEFT JOIN trade_records r
           ON c.product_hs92_code = r."cmdCode" AND c."year" = r."refYear"
-         AND c.country_iso3_code = r."reporterISO" AND r."flowCode" = 'M' """,
+         AND c.country_iso3_code = r."reporterISO" """,
     ),
     "jn8_code_and_year_join": over(
         "exports country_product",
@@ -561,7 +566,7 @@ ORACLE_SQL: dict[str, str] = {
         CAST(x.v AS BIGINT) AS "total_metricFOB", x.n AS state_records_count
         FROM country_product c LEFT JOIN (
           SELECT "headingCode", "year", sum("metricFOB") AS v, count(*) AS n
-          FROM exports WHERE state = 'NATION_3' GROUP BY 1, 2) x
+          FROM exports GROUP BY 1, 2) x
         ON c.product_hs92_code = x."headingCode" AND c."year" = x."year" """,
     ),
     "jn9_scalar_total": over(
@@ -662,10 +667,12 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "ag16_number_of_states": over(
         "exports",
-        f"""SELECT count(DISTINCT state) AS states, count(DISTINCT state) = 1 AS one_state
-        FROM exports WHERE state = 'NATION_3'
+        f"""SELECT states, states = 1 AS one_state FROM (
+        SELECT count(DISTINCT coalesce(state, '')) AS states FROM exports WHERE state = 'NATION_3'
+        UNION ALL
+        SELECT count(DISTINCT coalesce(state, '')) FROM exports WHERE {_SEVERAL}
         UNION ALL
-        SELECT count(DISTINCT state), count(DISTINCT state) = 1 FROM exports WHERE {_SEVERAL}""",
+        SELECT count(DISTINCT coalesce(state, '')) FROM exports)""",
     ),
     "ag17_cube": over(
         "shipments",
@@ -825,6 +832,11 @@ texts AS (
         "exports country_product", _legacy_select(), _MIXED + "," + _legacy("mixed")
     ),
     "dom15_lump_small_shares": _LUMP_ONE_STATE,
+    "dom15_lump_small_shares_all_states": over(
+        "exports",
+        _lumped("0.0002", "0"),
+        "chosen AS (SELECT * FROM exports)," + _SHARES,
+    ),
     "dom16_product_activities": over("bridge", "SELECT * FROM pairs", _PAIRS),
     "dom17_bridge_rollup": _ROLLUP_QUERY,
     "dom18_without_bridge": over(
@@ -901,6 +913,19 @@ texts AS (
         "trade_records",
         'SELECT DISTINCT "reporterISO", "cmdCode", "cmdDesc" FROM trade_records',
     ),
+    "trade_records_report_shares": over(
+        "trade_records",
+        """SELECT "cmdDesc", CAST(v AS BIGINT) AS "primaryValue",
+        CAST(CAST(round(v * 1.0e0 / sum(v) OVER (), 12) AS FLOAT) AS DOUBLE) AS share
+        FROM (SELECT "cmdDesc", sum("primaryValue") AS v FROM trade_records
+              WHERE "refYear" IN (1996, 1997, 1998)
+                AND "cmdCode" IN ('0011', '0023', '0034', '0042', '0105') GROUP BY 1)""",
+    ),
+    "trade_records_report_table": over(
+        "trade_records",
+        """SELECT "refYear", "cmdCode", "cmdDesc", "reporterISO", "flowCode", "partnerCode",
+        "primaryValue" FROM trade_records WHERE "refYear" IN (1996, 1997, 1998)""",
+    ),
     "country_summary_view": over(
         "country_product",
         'SELECT country_iso3_code AS "País (ISO3)", "year" AS "Ano", '

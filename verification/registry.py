@@ -27,7 +27,14 @@ from tradespec.operators import (
     summaries,
 )
 from tradespec.operators.joins import left_join_many, left_join_one
-from tradespec.plans import comparison, country, ingest, selection, three_source
+from tradespec.plans import (
+    comparison,
+    country,
+    ingest,
+    selection,
+    three_source,
+    trade_records,
+)
 from tradespec.sources import landed, readers, schemas, sinks
 from tradespec.sources.tables import TradeTables
 from verification import shared
@@ -38,6 +45,8 @@ QUERIES: dict[str, Query] = {}
 
 STATES = ("NATION_3", "NATION_7", "NATION_12")
 YEARS = (1996, 1997, 1998)
+#: Product codes of the records report.
+RECORD_CODES = ("0011", "0023", "0034", "0042", "0105")
 ONE_STATE = filters.Selection(states=(star.ENTITY,))
 SEVERAL_STATES = filters.Selection(states=STATES, years=YEARS)
 
@@ -405,20 +414,40 @@ def _(spark, folder):
 
 @query("prj9_missing_as_text")
 def _(spark, folder):
-    rows = _mixed_codes(spark, folder).select("headingCode").distinct()
-    return rows.select(
-        F.coalesce("headingCode", F.lit(names.MISSING_TEXT)).alias("headingCode")
+    return comparison.missing_as_text(
+        _mixed_codes(spark, folder).select("headingCode").distinct()
     )
 
 
 @query("prj10_consistent_types")
 def _(spark, folder):
-    rows = star.trade_records(spark, folder)
-    return rows.select(
-        numbers.to_number("cmdCode").alias("code_number"),
-        numbers.to_number("cmdDesc").alias("text_number"),
-        F.col("refYear").try_cast("string").alias("year_text"),
-    ).groupBy("code_number", "text_number", "year_text").agg(F.count("*").alias("n_rows"))
+    """Years that came as text, codes as numbers, some cells unfit; rows by year and code."""
+    year_text = F.when(F.col("year") % 5 == 0, "n.d.").otherwise(F.col("year").cast("string"))
+    exports, records = star.exports(spark, folder), star.trade_records(spark, folder)
+    tables = TradeTables(
+        exports.withColumns(
+            {"year": year_text, "headingCode": F.col("headingCode").try_cast("bigint")}
+        ),
+        star.country_product(spark, folder).withColumn("year", year_text),
+        records.withColumns(
+            {
+                "refYear": F.col("refYear").cast("string"),
+                "cmdCode": F.col("cmdCode").try_cast("bigint"),
+            }
+        ),
+    ).consistent()
+    parts = (
+        ("exports", tables.exports, "year", "headingCode"),
+        ("country_product", tables.country_product, "year", "product_hs92_code"),
+        ("trade_records", tables.trade_records, "refYear", "cmdCode"),
+    )
+    counted = [
+        df.groupBy(F.col(year).alias("year"), F.col(code).alias("code"))
+        .agg(F.count("*").alias("n_rows"))
+        .select(F.lit(name).alias("source"), "year", "code", "n_rows")
+        for name, df, year, code in parts
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
 # --- joins -----------------------------------------------------------------
@@ -485,20 +514,15 @@ def _(spark, folder):
 
 @query("jn6_attach_descriptions")
 def _(spark, folder):
-    exports = star.exports(spark, folder)
-    sums = rca.entity_rca(exports, star.ENTITY)
-    reference = options.heading_reference(exports)
-    return _single(
-        left_join_many(sums, reference, ("headingCode",), ("headingCode",), "_ref"),
-        names.ENTITY_RCA,
-    )
+    products = comparison.headings_with_rca(star.exports(spark, folder), star.ENTITY)
+    return _single(products, names.ENTITY_RCA)
 
 
 @query("jn7_three_key_join")
 def _(spark, folder):
     joined = left_join_many(
         star.country_product(spark, folder),
-        star.trade_records(spark, folder).where("flowCode = 'M'"),
+        star.trade_records(spark, folder),
         ("product_hs92_code", "year", "country_iso3_code"),
         ("cmdCode", "refYear", "reporterISO"),
         "_comtrade",
@@ -513,9 +537,7 @@ def _(spark, folder):
 def _(spark, folder):
     joined = left_join_one(
         star.country_product(spark, folder),
-        summaries.exports_by_code_and_year(
-            star.exports(spark, folder).where(F.col("state") == star.ENTITY)
-        ),
+        summaries.exports_by_code_and_year(star.exports(spark, folder)),
         ("product_hs92_code", "year"),
         ("headingCode", "year"),
         "_comexstat",
@@ -641,12 +663,10 @@ def _(spark, folder):
 def _(spark, folder):
     exports = star.exports(spark, folder)
     counted = [
-        chosen.apply(exports).agg(F.count_distinct("state").alias("states"))
-        for chosen in (ONE_STATE, SEVERAL_STATES)
+        summaries.number_of_states(rows)
+        for rows in (ONE_STATE.apply(exports), SEVERAL_STATES.apply(exports), exports)
     ]
-    return counted[0].unionByName(counted[1]).withColumn(
-        "one_state", F.col("states") == 1
-    )
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
 CUBE = cube.CubeSpec(
@@ -886,6 +906,12 @@ def _(spark, folder):
     return _single(summaries.lump_small(summaries.heading_shares(exports)), "percentage")
 
 
+@query("dom15_lump_small_shares_all_states")
+def _(spark, folder):
+    shares = summaries.heading_shares(star.exports(spark, folder))
+    return _single(summaries.lump_small(shares, 0.0002), "percentage")
+
+
 @query("dom16_product_activities")
 def _(spark, folder):
     return bridge.product_activities(star.bridge(spark, folder))
@@ -983,6 +1009,22 @@ def _(spark, folder):
     ).distinct()
 
 
+@query("trade_records_report_shares")
+def _(spark, folder):
+    report = trade_records.records_report(
+        star.trade_records(spark, folder), years=YEARS, codes=RECORD_CODES
+    )
+    return _single(report["shares"], "share")
+
+
+@query("trade_records_report_table")
+def _(spark, folder):
+    report = trade_records.records_report(star.trade_records(spark, folder), years=YEARS)
+    return report["table"].select(
+        "refYear", "cmdCode", "cmdDesc", "reporterISO", "flowCode", "partnerCode", "primaryValue"
+    )
+
+
 @query("country_summary_view")
 def _(spark, folder):
     rows = country.country_summary(
