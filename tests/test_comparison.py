@@ -115,6 +115,8 @@ def test_legacy_comparison(exports, countries):
     assert sheep["PCI_NORM"] == 0.0 and sheep[names.ADJUSTED_RCA] == 0.0
     # Nothing known: only the proximity part, at full strength.
     assert sheep[names.PRIORITY] == pytest.approx(round(0.4 / 1.7, 3))
+    for columns in (names.LEGACY_NORMALIZED, names.LEGACY_RAW):
+        assert legacy_view(table, columns).columns == list(columns)
     view = legacy_view(table)
     shown = {(r["Código HS"], r["Descrição"]): r for r in view.collect()}
     assert shown["0104", "Sheep"]["VCR estadual (Bruto)"] == "N/A"
