@@ -309,6 +309,54 @@ def test_licenses(spark, docs):
     assert classifier.notices("")[0] == 0
 
 
+WRAPPED = {
+    "gpl": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License.""",
+    "mit": """# Permission is hereby granted, free of
+# charge, to any person obtaining a copy
+# of this software and its documentation""",
+    "apache-2.0": "Licensed under the Apache\nLicense, Version\n2.0 (the License)",
+    "cc-by-sa": "word " * 3000
+    + "this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 License "
+    + "other " * 900,
+    "lgpl": "You may copy it under\nthe GNU Lesser General Public\nLicense, version 2.1 or later",
+}
+SHORT_FORMS = {
+    "CC BY 4.0": "cc-by",
+    "Text: CC BY-ND 4.0, pictures: all theirs": "cc-by-nd",
+    "SPDX-License-Identifier: MIT": "mit",
+    "// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "gpl",
+    "SPDX-License-Identifier: ISC": "isc",
+    "MIT License": "mit",
+    "under GPLv3": "gpl",
+}
+
+
+@pytest.fixture(scope="module")
+def classifier(docs):
+    return licenses.Classifier(licenses.train(docs))
+
+
+@pytest.mark.parametrize("family", WRAPPED)
+def test_licenses_wrapped_or_inside_long_lines(classifier, family):
+    text = f"Words before them.\n\n{WRAPPED[family]}\n\nand after."
+    _, found = classifier.notices(text)
+    assert [f for f, *_ in found] == [family]
+    _, start, end, _ = found[0]
+    assert text[start:end].strip(" *#") in WRAPPED[family] and end - start < 400
+
+
+@pytest.mark.parametrize("text", SHORT_FORMS)
+def test_licenses_short_forms(classifier, text):
+    assert [f for f, *_ in classifier.notices(text)[1]] == [SHORT_FORMS[text]]
+
+
+def test_licenses_does_not_report_mere_words(classifier):
+    for text in ("submit a license to the office", "smithy licensed under\nthe sky", "he cc by mail"):
+        assert classifier.notices(text)[1] == []
+
+
 def operators(docs, labels, tokenizer):
     return {
         "fingerprints": lambda: fingerprints.fingerprint_against_next(docs),

@@ -1,14 +1,22 @@
-"""Licence notices in texts, by a trained paragraph classifier.
-
-Paragraphs (lines that are not blank) are bags of words and word pairs. A sparse
-multinomial logistic regression names the licence family or the unknown class; it
-is trained on notices made from the templates below and on paragraphs of a bounded
-sample of documents for the unknown class, and its temperature is calibrated on
-notices and paragraphs that it has not seen. A prediction counts once the best
-template of its family agrees with the paragraph.
-
-Every paragraph is judged. One without a word that is particular to the templates
-cannot be confirmed by any of them, so it is unknown without further work.
+"""Licence notices in texts, by a trained classifier of spans of words.
+
+Texts are cut into paragraphs at blank lines; line breaks inside a paragraph are
+white space. For every template the words of a paragraph are scanned with a sliding
+span, half as long again as the template, that counts the template's word pairs in
+it. A span with enough of them is named by a sparse multinomial logistic regression
+over words and word pairs, which knows the licence families and an unknown class. It
+is trained on notices made from the templates and, for the unknown class, on spans
+from all over a bounded sample of documents; its temperature is calibrated on
+notices and spans that it has not seen. A prediction counts once the best template
+of its family agrees with the span.
+
+SPDX identifiers and short forms ("CC BY 4.0", "MIT License", "GPLv3") are read as
+they are, with score 1; where a span of their family overlaps, both are one notice,
+and overlapping spans of other families are dropped. SPDX identifiers outside the
+families are reported under their own name in lower case.
+
+All words of all paragraphs are scanned. ``n_paragraphs`` counts lines that are not
+blank, as it always did.
 
 Defined results: null and empty texts have no paragraphs; texts without confirmed
 notices have the licence ``none``.
@@ -18,7 +26,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +35,12 @@ from pyspark.sql import DataFrame
 
 from tradespec.llm.common import texts_of
 from tradespec.llm.learning import fitted, plain_sample
-from tradespec.llm.words import WordCache
 
-#: Documents whose paragraphs train the unknown class, and paragraphs of each.
+#: Documents whose words train the unknown class, and spans of each.
 SAMPLE_ROWS = 1_500
 SAMPLE_PARAGRAPHS = 4
+#: Words of such a span.
+SPAN_WORDS = 40
 LEAST_PROBABILITY = 0.5
 LEAST_AGREEMENT = 0.6
 UNKNOWN = "unknown"
@@ -77,12 +86,54 @@ TEMPLATES = {
     ),
     "proprietary": ("All rights reserved.", "Copyright by the author. All rights reserved."),
 }
-_PARAGRAPH = re.compile(r"[^\n]*\S[^\n]*")
+#: Families of SPDX identifiers, by how these begin; the first that fits counts.
+SPDX = (
+    ("CC-BY-NC", "cc-by-nc"),
+    ("CC-BY-SA", "cc-by-sa"),
+    ("CC-BY-ND", "cc-by-nd"),
+    ("CC-BY", "cc-by"),
+    ("CC0", "public-domain"),
+    ("Unlicense", "public-domain"),
+    ("MPL-2.0", "mpl-2.0"),
+    ("Apache-2.0", "apache-2.0"),
+    ("AGPL", "agpl"),
+    ("LGPL", "lgpl"),
+    ("GPL", "gpl"),
+    ("BSD", "bsd"),
+)
+_SPDX = re.compile(
+    r"SPDX-License-Identifier:[ \t]*"
+    r"(\(*[A-Za-z0-9.+:-]+\)*(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(*[A-Za-z0-9.+:-]+\)*)*)"
+)
+_SHORT = tuple(
+    (family, re.compile(rf"(?<![^\W_])(?:{form})(?![^\W_])"))
+    for family, form in {
+        "mit": r"(?i:MIT\s+Licen[sc]e|(?<=licen[sc]e: )MIT)",
+        "apache-2.0": r"(?i:Apache\s+Licen[sc]e,?\s+(?:Version\s+|v\.?\s*)?2\.0|Apache-2\.0)",
+        "gpl": r"(?:GNU\s+)?GPL[\s-]?v?[123](?:\.\d)?\+?|GNU\s+GPL",
+        "lgpl": r"(?:GNU\s+)?LGPL[\s-]?v?[23](?:\.\d)?\+?|GNU\s+LGPL",
+        "agpl": r"(?:GNU\s+)?AGPL[\s-]?v?[13](?:\.\d)?\+?|GNU\s+AGPL",
+        "bsd": r"(?i:BSD[\s-][0-4]-Clause|[0-4]-Clause\s+BSD)(?i:\s+Licen[sc]e)?|BSD\s+[Ll]icen[sc]e",
+        "mpl-2.0": r"MPL[\s-]?v?2\.0|(?i:Mozilla\s+Public\s+Licen[sc]e,?\s+(?:Version\s+|v\.?\s*)?2\.0)",
+        "cc-by-nc": r"CC[\s-]BY-NC(?:-(?:SA|ND))?(?:[\s-]\d\.\d)?",
+        "cc-by-sa": r"CC[\s-]BY-SA(?:[\s-]\d\.\d)?",
+        "cc-by-nd": r"CC[\s-]BY-ND(?:[\s-]\d\.\d)?",
+        "cc-by": r"CC[\s-]BY(?:[\s-]\d\.\d)?(?!-)",
+        "public-domain": r"CC0(?:[\s-]1\.0)?",
+    }.items()
+)
+#: What every short form has, in lower case.
+_SHORT_HINTS = ("mit", "apache", "gpl", "bsd", "mpl", "mozilla", "cc0", "cc-by", "cc by", "cc\nby", "cc\tby", "cc\rby")
+#: The most that a prediction scores; exact forms score 1.
+_SUREST = 1 - 1e-9
+_LINE = re.compile(r"[^\n]*\S[^\n]*")
+_PARAGRAPH = re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*")
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+_MARKS = re.compile(r"[^\w\s]*")
 
 
 def words_of(paragraph: str) -> list[str]:
-    return _WORD.findall(paragraph.lower())
+    return list(map(str.lower, _WORD.findall(paragraph)))
 
 
 def features(words: list[str]) -> set[str]:
@@ -90,18 +141,80 @@ def features(words: list[str]) -> set[str]:
 
 
 def _pairs(words: list[str]) -> set[tuple[str, str]]:
-    return set(zip(["", *words], words))
+    return set(zip(words, words[1:]))
+
+
+#: Every template: its words, its word pairs, and how many of them a span needs.
+_FORMS = [
+    (len(words_of(t)), _pairs(words_of(t)))
+    for templates in TEMPLATES.values()
+    for t in templates
+]
+_FORMS_WITH: dict[tuple[str, str], list[int]] = defaultdict(list)
+for _i, (_, _wanted) in enumerate(_FORMS):
+    for _pair in _wanted:
+        _FORMS_WITH[_pair].append(_i)
 
 
 def agreement(words: list[str], family: str) -> float:
-    """The largest share of a template's word pairs that a paragraph has."""
+    """The largest share of a template's word pairs that a span has."""
     own = _pairs(words)
     return max(
-        len(own & wanted) / len(wanted)
-        for wanted in (_pairs(words_of(t)) - {p for p in _pairs(words_of(t)) if not p[0]} for t in TEMPLATES[family])
+        (len(own & wanted) / len(wanted) for wanted in (_pairs(words_of(t)) for t in TEMPLATES.get(family, ()))),
+        default=0.0,
     )
 
 
+def spans_of(words: list[str]) -> list[tuple[int, int]]:
+    """Spans of words that agree with a template, from the most pairs to the fewest."""
+    places: dict[int, list[tuple[int, tuple[str, str]]]] = defaultdict(list)
+    for at, pair in enumerate(zip(words, words[1:])):
+        if pair in _FORMS_WITH:
+            for form in _FORMS_WITH[pair]:
+                places[form].append((at, pair))
+    found: dict[tuple[int, int], tuple[int, float]] = {}
+    for form, hits in places.items():
+        size, wanted = _FORMS[form]
+        reach, least = size + max(2, size // 2), LEAST_AGREEMENT * len(wanted)
+        if len(hits) < least:
+            continue
+        inside: Counter = Counter()
+        first = distinct = 0
+        for at, pair in hits:
+            inside[pair] += 1
+            distinct += inside[pair] == 1
+            # The span starts at a pair that it does not have once more.
+            while at + 2 - hits[first][0] > reach or inside[hits[first][1]] > 1:
+                gone = hits[first][1]
+                inside[gone] -= 1
+                distinct -= inside[gone] == 0
+                first += 1
+            if distinct >= least:
+                span = (hits[first][0], at + 2)
+                found[span] = max(found.get(span, (0, 0.0)), (distinct, distinct / len(wanted)))
+    return sorted(found, key=lambda x: (-found[x][0], -found[x][1], x[1] - x[0], x))
+
+
+def short_forms(text: str) -> list[tuple[str, int, int]]:
+    """``(family, start, end)`` of SPDX identifiers and short forms."""
+    found = []
+    for m in _SPDX.finditer(text):
+        parts = m[1].replace("(", " ").replace(")", " ").split()
+        for before, name in zip(["", *parts], parts):
+            if name not in ("OR", "AND", "WITH") and before != "WITH":
+                own = name.lower().rstrip("+.").replace(":", "-")
+                known = (f for start, f in SPDX if own.startswith(start.lower()))
+                found.append((next(known, own), m.start(), m.end()))
+    lower = text.lower()
+    if any(h in lower for h in _SHORT_HINTS) or "CC" in text:
+        declared = [(a, b) for _, a, b in found]
+        for family, form in _SHORT:
+            for m in form.finditer(text):
+                if not any(a < m.end() and m.start() < b for a, b in declared):
+                    found.append((family, m.start(), m.end()))
+    return found
+
+
 def notices(rng: np.random.Generator, filler: list[str], each: int = 60) -> list[tuple[str, list[str]]]:
     """Training notices: templates with words lost, and with other words around them."""
     found = []
@@ -122,9 +235,10 @@ def fit(rows: pd.DataFrame, epochs: int = 150) -> bytes:
     rng = np.random.default_rng(8)
     ordinary = []
     for text in rows["text"]:
-        paragraphs = [m[0] for m in _PARAGRAPH.finditer(text)]
-        picked = rng.permutation(len(paragraphs))[:SAMPLE_PARAGRAPHS]
-        ordinary += [words_of(paragraphs[i])[:400] for i in picked]
+        parts = [words_of(m[0]) for m in _PARAGRAPH.finditer(text)]
+        spans = [w[i : i + SPAN_WORDS] for w in parts for i in range(0, len(w), SPAN_WORDS)]
+        picked = rng.permutation(len(spans))[:SAMPLE_PARAGRAPHS]
+        ordinary += [spans[i] for i in picked]
     # Notices are part of documents too; those that a template explains do not train unknown.
     ordinary = [
         w for w in ordinary if w and not any(agreement(w, f) >= LEAST_AGREEMENT for f in TEMPLATES)
@@ -173,39 +287,60 @@ def fit(rows: pd.DataFrame, epochs: int = 150) -> bytes:
         for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
     }
     temperature = min(loss, key=loss.get)
-    particular = {w for t in TEMPLATES.values() for x in t for w in words_of(x)} - background
-    always = {w for t in TEMPLATES.values() for x in t for w in words_of(x) if len(w) > 4}
-    return pickle.dumps((families, index, weights / temperature, particular | always))
+    return pickle.dumps((families, index, weights / temperature))
 
 
 class Classifier:
     def __init__(self, model: bytes):
-        self.families, self.index, self.weights, particular = pickle.loads(model)
-        self._particular = WordCache(lambda chunk: any(w in particular for w in words_of(chunk)))
+        self.families, self.index, self.weights = pickle.loads(model)
 
     def notices(self, text: str) -> tuple[int, list[tuple[str, int, int, float]]]:
-        """How many paragraphs there are, and the confirmed notices among them."""
-        hint = any(map(self._particular.__getitem__, set(text.lower().split())))
-        count, found = 0, []
+        """How many lines are not blank, and the confirmed notices."""
+        found = [(f, a, b, 1.0) for f, a, b in short_forms(text)]
         for m in _PARAGRAPH.finditer(text):
-            count += 1
-            if hint and any(map(self._particular.__getitem__, m[0].lower().split())):
-                words = words_of(m[0])
-                family, p = self.predict(words)
-                if (
-                    family != UNKNOWN
-                    and p >= LEAST_PROBABILITY
-                    and agreement(words, family) >= LEAST_AGREEMENT
-                ):
-                    found.append((family, m.start(), m.end(), p))
-        return count, found
+            words = words_of(m[0])
+            spans = spans_of(words)
+            if spans:
+                places = [w.span() for w in _WORD.finditer(m[0])]
+                taken = bytearray(len(words))
+                for a, b in spans:
+                    family, p = ("", 0.0) if any(taken[a:b]) else self.predict(words[a:b])
+                    if (
+                        p >= LEAST_PROBABILITY
+                        and family != UNKNOWN
+                        and agreement(words[a:b], family) >= LEAST_AGREEMENT
+                    ):
+                        taken[a:b] = b"\x01" * (b - a)
+                        end = _MARKS.match(m[0], places[b - 1][1]).end()
+                        found.append((family, m.start() + places[a][0], m.start() + end, p))
+        return sum(1 for _ in _LINE.finditer(text)), _merged(found)
 
     def predict(self, words: list[str]) -> tuple[str, float]:
         ids = [self.index[f] for f in features(words) if f in self.index]
         z = self.weights[ids].sum(axis=0) / np.sqrt(max(1, len(ids))) + self.weights[-1]
         e = np.exp(z - z.max())
         best = int(e.argmax())
-        return self.families[best], float(e[best] / e.sum())
+        return self.families[best], min(float(e[best] / e.sum()), _SUREST)
+
+
+def _merged(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Notices by place; overlapping ones of a family as one, and none that overlaps
+    an exact form (score 1) of another family."""
+    one: list[tuple[str, int, int, float]] = []
+    ends: dict[str, int] = {}
+    for family, a, b, p in sorted(found, key=lambda x: (x[1], x[2])):
+        at = ends.get(family)
+        if at is not None and a < one[at][2]:
+            one[at] = (family, one[at][1], max(b, one[at][2]), max(p, one[at][3]))
+        else:
+            ends[family] = len(one)
+            one.append((family, a, b, p))
+    exact = [x for x in found if x[3] == 1.0]
+    return [
+        x
+        for x in one
+        if x[3] == 1.0 or not any(e[1] < x[2] and x[1] < e[2] for e in exact)
+    ]
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> bytes:
