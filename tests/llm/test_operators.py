@@ -137,6 +137,45 @@ def test_bin_completion_beats_best_fit():
     assert plan.sequences == -(-sum(n * c for n, c in counts.items()) // 11)
 
 
+def test_bin_completion_finds_what_needs_smaller_pieces():
+    lengths = [2096, 700, 650, 650, 1100, 1050, 1000, 946, 1090, 1040, 1010, 956]
+    plan = packing.complete(Counter(lengths), 4096)
+    assert packing.best_fit(Counter(lengths), 4096).sequences == 4
+    assert (plan.sequences, plan.least, plan.proven) == (3, 3, True)
+
+
+def fewest_sequences(lengths, capacity):
+    best = len(lengths)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= lengths[i]}:
+            put(i + 1, [*(r for k, r in enumerate(rooms) if k != rooms.index(room)), room - lengths[i]])
+        put(i + 1, [*rooms, capacity - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    put(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_bin_completion_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(10, 40))
+    lengths = rng.integers(max(1, capacity // 8), capacity * 3 // 4, rng.integers(4, 10)).tolist()
+    if seed % 3 == 0:
+        lengths = lengths[:4] * 2
+    plan = packing.complete(Counter(lengths), capacity)
+    wanted = fewest_sequences(lengths, capacity)
+    assert (plan.sequences, plan.proven) == (wanted, True)
+    assert packing.lower_bound(Counter(lengths), capacity) <= wanted
+
+
 def test_jaccard_join_against_brute_force(docs, texts):
     sets = {}
     for doc, text in texts.items():

@@ -4,11 +4,15 @@ Documents become token pieces; only those longer than a sequence are cut. How
 pieces share sequences depends on nothing but their lengths, of which there are
 as many as a sequence has tokens, so the plan is made over the table of counts
 by length. Starting from the best-fit-decreasing plan, a branch-and-bound search
-fills sequences around the largest length left: it enumerates fillings of what
-is left beside it, leaves out those that another one dominates, and gives up
-branches whose waste already costs as many sequences as the best plan so far.
-Each filling is used for as many sequences as the counts allow. Pieces of a
-length are then numbered and take the places of the plan in that order.
+fills sequences around the largest length left. It enumerates all maximal fillings
+of what is left beside it, lazily and least waste first, leaves out those that the
+Martello-Toth dominance test removes, and gives up branches whose lower bound is
+not under the best plan so far. Each filling is tried for as many sequences as the
+counts allow, then for fewer.
+
+The search is complete: it ends with the fewest sequences, unless its steps end
+before. A plan says which (``proven``) and gives the lower bound (``least``).
+Pieces of a length are then numbered and take the places of the plan in that order.
 
 Defined results: null text is an empty document, one piece holding the closing
 id alone; repeated rows are packed as often as they come.
@@ -16,10 +20,11 @@ id alone; repeated rows are packed as often as they come.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,9 +37,11 @@ from tradespec.llm.words import WordCache, words_of
 
 CAPACITY = 4096
 END_ID = 1
-#: Steps of the search, and fillings looked at for one largest piece.
+#: Steps of the search; every filling looked at is one, dominated ones too.
 SEARCH_STEPS = 20_000
-FILLINGS = 24
+#: Places of the search, counted from its end, whose enumerations stay in memory; others
+#: are taken up again where they were left when the search comes back to them.
+_LIVE = 8
 #: Rows numbered together.
 _RANK_ROWS = 50_000
 
@@ -93,9 +100,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
 @dataclass
 class Plan:
-    """Fillings and how many sequences each is used for."""
+    """Fillings and how many sequences each is used for.
+
+    ``least`` is a lower bound of the sequences; ``proven`` says that none has fewer.
+    """
 
     fillings: list[tuple[tuple[int, ...], int]] = field(default_factory=list)
+    least: int = 0
+    proven: bool = False
 
     @property
     def sequences(self) -> int:
@@ -138,83 +150,184 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return Plan([(f, n) for group in open_.values() for f, n in group.items()])
 
 
-def _fillings(counts: dict[int, int], lengths: list[int], room: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first.
-
-    A filling is dominated where another length fits in place of a smaller one
-    of its own, so every choice takes the largest lengths that lead to less waste.
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's bound L2: pieces over half a sequence share none, and those
+    too large to take any of the pieces from some length on leave their room unused."""
+    number = np.zeros(capacity + 1, np.int64)
+    number[list(counts)] = list(counts.values())
+    tokens = number * np.arange(capacity + 1)
+    upto, sums = np.cumsum(number), np.cumsum(tokens)
+    half = capacity // 2
+    least = np.arange(1, half + 1)
+    over_half = upto[capacity] - upto[half]
+    middle = upto[capacity - least] - upto[half]
+    room = middle * capacity - (sums[capacity - least] - sums[half])
+    rest = np.maximum(0, -(-(sums[half] - sums[least - 1] - room) // capacity))
+    return int(max(over_half + rest.max(initial=0), -(-sums[capacity] // capacity)))
+
+
+def _smeared(sums: int, by: int) -> int:
+    """A set of sums, as bits, with every sum from each one to ``by`` more."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        sums |= sums << step
+        done += step
+    return sums
+
+
+def _is_dominated(filling: tuple[int, ...], waste: int, others: int) -> bool:
+    """Whether one piece left outside (``others``, lengths as bits) may take the place
+    of some of the filling: it is as long as two or more of them together, or longer
+    than what it replaces, and fits. The piece then leaves no more waste, and what it
+    replaces fits where it would have been."""
+    one = some = several = 0
+    for length in filling:
+        several |= some << length
+        some |= (some << length) | (1 << length)
+        one |= 1 << length
+    if _smeared(several, waste) & others:
+        return True
+    return waste > 0 and bool(_smeared(one << 1, waste - 1) & others)
+
+
+def _fillings(
+    counts: dict[int, int], room: int, most_waste: Callable[[], int]
+) -> Iterator[tuple[int, ...] | None]:
+    """All maximal undominated ways to fill ``room``, least waste first, then the
+    longest pieces first; None for each dominated one on the way.
+
+    Stops beyond the waste ``most_waste()``.
     """
-    found: dict[tuple[int, ...], int] = {}
-
-    def extend(taken: tuple[int, ...], at: int, room: int, breadth: int) -> None:
-        tried = 0
-        for i in range(at, len(lengths)):
-            length = lengths[i]
-            if length > room or counts[length] <= taken.count(length):
-                continue
-            extend((*taken, length), i, room - length, max(1, breadth // 2))
-            tried += 1
-            if tried >= breadth or len(found) >= 4 * FILLINGS:
+    lengths = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
+    present = np.zeros(max(counts) + 1, np.uint8)
+    present[[n for n, c in counts.items() if c]] = 1
+    left = int.from_bytes(np.packbits(present, bitorder="little").tobytes(), "little")
+    mask = (1 << (room + 1)) - 1
+    top = len(lengths)
+    reach: list[int] = []
+    ascending = lengths[::-1]
+    waste = 0
+    while waste <= min(room, most_waste()):
+        # Pieces that would fit into the waste are all taken, else it were not maximal.
+        small = bisect.bisect_right(ascending, waste)
+        forced = tuple(n for n in lengths[top - small :] for _ in range(counts[n]))
+        spare = room - sum(forced)
+        if spare < waste:
+            return
+        end = top - small
+        if len(reach) != end + 1:
+            # Sums that lengths from each place on can have, as bits.
+            reach = [1]
+            for n in reversed(lengths[:end]):
+                sums, many, take = reach[-1], min(counts[n], room // n), 1
+                while many:
+                    take = min(take, many)
+                    sums |= (sums << (n * take)) & mask
+                    many -= take
+                    take *= 2
+                reach.append(sums)
+            reach.reverse()
+        # The largest sum that leaves this waste or more, as long as no further piece fits.
+        wanted = (reach[0] & ((1 << (spare - waste + 1)) - 1)).bit_length() - 1
+        if small < top and spare - wanted >= ascending[small]:
+            waste = ascending[small]
+            continue
+        waste = spare - wanted
+        if waste > most_waste():
+            return
+
+        def exact(at: int, sum_: int) -> Iterator[tuple[int, ...]]:
+            if not sum_:
+                yield ()
                 return
-        if not tried:
-            found[taken] = room
-
-    extend((), 0, room, 8)
-    # Pairs that fill the room to the last token are looked up directly.
-    present = set(lengths)
-    for a in lengths:
-        b = room - a
-        if 0 < b <= a and b in present and counts[b] > (a == b):
-            found[(a, b)] = 0
-            if len(found) > 6 * FILLINGS:
-                break
-    if room in present:
-        found[(room,)] = 0
-    return sorted(found, key=lambda f: (found[f], len(f), [-x for x in f]))[:FILLINGS]
+            at = max(at, top - bisect.bisect_right(ascending, sum_))
+            for i in range(at, end):
+                if not reach[i] >> sum_ & 1:
+                    return
+                n = lengths[i]
+                for many in range(min(counts[n], sum_ // n), 0, -1):
+                    if reach[i + 1] >> (sum_ - many * n) & 1:
+                        for more in exact(i + 1, sum_ - many * n):
+                            yield (n,) * many + more
+
+        for found in exact(0, wanted):
+            filling = found + forced
+            used = Counter(filling)
+            others = left & ~sum(1 << n for n, c in used.items() if counts[n] == c)
+            yield None if _is_dominated(filling, waste, others) else filling
+        waste += 1
 
 
 def complete(counts: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> Plan:
     """The best plan found within ``steps`` steps; never worse than best fit."""
     counts = {n: c for n, c in counts.items() if c > 0}
     best = best_fit(counts, capacity)
-    least = -(-sum(n * c for n, c in counts.items()) // capacity)
+    fewest, least = best.sequences, lower_bound(counts, capacity)
     left = dict(counts)
-    path: list[tuple[tuple[int, ...], int, Iterator]] = []
+    path: list[list] = []
     used = 0
 
-    def branch() -> Iterator[tuple[tuple[int, ...], int]]:
-        lengths = sorted((n for n, c in left.items() if c), reverse=True)
-        largest = lengths[0]
-        left[largest] -= 1
-        options = _fillings(left, [n for n in lengths if left[n]], capacity - largest)
-        left[largest] += 1
-        for option in options or [()]:
-            filling = (largest, *option)
-            need = Counter(filling)
-            yield filling, min(left[n] // c for n, c in need.items())
-
-    while best.sequences > least and steps > 0:
+    def branch(at: list[int]) -> Iterator[tuple[tuple[int, ...], int] | None]:
+        """Fillings with their uses, from ``at`` on: uses left out, fillings seen."""
+        fewer, seen = at
+        largest = max(n for n, c in left.items() if c)
+        rest, before = sum(n * c for n, c in left.items()), used
+        # A filling on the path is used as often as it was decided there.
+        decided = {step[0] for step in path if step[0][0] == largest}
+        own = {n: c for n, c in left.items() if c}
+        own[largest] -= 1
+
+        def most_waste() -> int:
+            return (fewest - 1 - before) * capacity - rest
+
+        more = True
+        while more:
+            more = False
+            for n, option in enumerate(_fillings(own, capacity - largest, most_waste), 1):
+                found = None
+                if option is not None and (largest, *option) not in decided:
+                    filling = (largest, *option)
+                    times = min(left[x] // c for x, c in Counter(filling).items()) - fewer
+                    more |= times > 1
+                    found = (filling, times) if times > 0 else None
+                if n > seen:
+                    at[:] = fewer, n
+                    yield found
+            fewer, seen = fewer + 1, 0
+
+    proven = fewest <= least
+    place = [0, 0]
+    options = iter(()) if proven else branch(place)
+    while not proven and steps > 0:
         steps -= 1
-        rest = sum(n * c for n, c in left.items())
-        bound = used + -(-rest // capacity)
-        if not rest and used < best.sequences:
-            best = Plan([(f, t) for f, t, _ in path])
-        options = branch() if rest and bound < best.sequences else iter(())
-        while True:
-            step = next(options, None)
-            if step is not None:
-                filling, times = step
-                for n in filling:
-                    left[n] -= times
-                used += times
-                path.append((filling, times, options))
-                break
+        step = next(options, False)
+        if step is None:
+            continue
+        if step is False:
             if not path:
-                return best
-            filling, times, options = path.pop()
+                proven = True
+                break
+            filling, times, place, options = path.pop()
             for n in filling:
                 left[n] += times
             used -= times
+            options = options or branch(place)
+            continue
+        filling, times = step
+        for n in filling:
+            left[n] -= times
+        used += times
+        path.append([filling, times, place, options])
+        if len(path) > _LIVE:
+            path[-_LIVE - 1][-1] = None
+        bound = used + lower_bound(left, capacity)
+        if used < fewest and not any(left.values()):
+            best, fewest = Plan([(f, t) for f, t, _, _ in path]), used
+            proven = fewest <= least
+        place = [0, 0]
+        options = branch(place) if bound < fewest else iter(())
+    best.least, best.proven = (fewest if proven else least), proven
     return best
 
 
