@@ -217,6 +217,17 @@ def test_jaccard_join_of_a_large_group_of_near_copies(spark):
     assert all(classes[1000 + i] == (1000 + i, 0) for i in range(50))
 
 
+def test_jaccard_join_of_near_copies_without_ids(spark):
+    same = " ".join(f"w{i}" for i in range(90))
+    rows = [(None, f"{same} tail1"), (None, f"{same} tail2"), (None, f"{same} tail2"), (None, "apart")]
+    both = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.linked_classes(both).collect()
+    assert sorted(r.n_links for r in found) == [0, 2, 2, 2]
+    assert len({r.class_id for r in found}) == 2
+    mixed = spark.createDataFrame([(7, f"{same} tail3"), *rows[:1]], "doc_id long, text string")
+    assert {r.n_links for r in jaccard_join.linked_classes(mixed).collect()} == {1}
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(20)] + [(30, 40), (41, 40)]
     found = components(spark.createDataFrame(links, "a long, b long"))

@@ -38,6 +38,13 @@ def test_near_stage_keeps_one_of_each_class(spark, frame):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 9, 10]
 
 
+def test_near_stage_without_ids(spark, frame):
+    same = " ".join(f"w{i}" for i in range(90))
+    rows = [(None, f"{same} tail{i}") for i in range(4)] + [(None, "on its own")]
+    kept = corpus_pipeline.jaccard_join_stage(spark, frame("doc_id long, text string", *rows), FOLDER)
+    assert kept.count() == 2
+
+
 def test_secrets_are_masked(spark, docs):
     clean = corpus_pipeline.secrets_stage(spark, docs, FOLDER)
     assert clean.columns == docs.columns and clean.count() == docs.count()

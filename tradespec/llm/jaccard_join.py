@@ -286,8 +286,9 @@ def linked_classes(
         .agg(
             F.coalesce(F.min("doc_id"), F.xxhash64("key")).alias("v"),
             F.count(F.lit(1)).alias("copies"),
-            F.min_by("roots", "doc_id").alias("roots"),
-            F.min_by("sketch", "doc_id").alias("sketch"),
+            # Equal texts have equal ones; min_by would be null where all ids are.
+            F.first("roots").alias("roots"),
+            F.first("sketch").alias("sketch"),
         ),
         "members",
     )
