@@ -37,4 +37,29 @@ ORACLE_SQL = {
             sha256(t) AS text_sha256
         FROM d
     """,
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ),
+        s AS (
+            SELECT a.vec_id AS anchor_id, o.vec_id AS vec_id, a.label = o.label AS same,
+                CAST(list_inner_product(a.q, o.q) AS BIGINT) AS score
+            FROM v AS a JOIN v AS o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id
+        ),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+            FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank,
+            n.vec_id AS negative_id, positive_score, n.score AS negative_score
+        FROM p JOIN s AS n ON n.anchor_id = p.anchor_id AND NOT n.same
+            AND 100 * n.score BETWEEN 30 * positive_score AND 90 * positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+        QUALIFY row_number() OVER w <= 10
+    """,
 }

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradespec.llm import (
     bpe,
     exact_dedup,
     fingerprints,
+    hard_negatives,
     jaccard_join,
     licenses,
     packing,
@@ -74,6 +76,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, labels(spark, sf_dir)))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hard_negatives.mine(hard_negatives.relabelled(vectors), F.col("vec_id") % 100 == 0)
+
+
 def _on_executors(query: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(shipped(spark), sf_dir)
@@ -94,5 +101,6 @@ QUERIES = {
         op8_licenses,
         op9_bpe,
         op10_quality,
+        op13_hard_negatives,
     )
 }
