@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradespec.llm import (
+    alignment,
     bpe,
     exact_dedup,
     fingerprints,
@@ -26,6 +27,7 @@ from tradespec.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from tradespec.llm.shipping import shipped
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path() -> str:
@@ -76,6 +78,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, labels(spark, sf_dir)))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES)
+    return alignment.align(documents(spark, sf_dir), *files)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return hard_negatives.mine(hard_negatives.relabelled(vectors), F.col("vec_id") % 100 == 0)
@@ -101,6 +108,7 @@ QUERIES = {
         op8_licenses,
         op9_bpe,
         op10_quality,
+        op12_alignment,
         op13_hard_negatives,
     )
 }
