@@ -28,7 +28,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,18 +53,35 @@ HELD_PAIRS = 1 << 19
 SEGMENT_PAIRS, BRANCH_ROWS, FAN_IN = 1 << 15, 1 << 20, 16
 #: Characters of texts encoded at once.
 CHUNK = 1 << 21
+#: Words of a tokenizer's memory, and characters of the longest one that is kept.
+HELD_WORDS, LONGEST_HELD = 200_000, 64
 #: Fixed value: how the byte-level tokenizer cuts texts before it merges.
 _CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE = "▁"
 
 
+@dataclass(eq=False, slots=True)
+class Word:
+    """The tokens of a word: how many, its links as pair numbers, its groups as text."""
+
+    n_a: int
+    n_b: int
+    pairs: tuple[int, ...]
+    groups: str
+
+
 class Aligner:
-    """Both tokenizers with the bytes that each of their ids stands for."""
+    """Both tokenizers with the bytes that each of their ids stands for.
 
-    def __init__(self, byte_level: str, pieces: str):
+    Neither has a token that goes on from anything but white space to a space, so a
+    text is cut there and every word aligned once; what was found is kept for the next.
+    """
+
+    def __init__(self, byte_level: str, pieces: str, with_groups: bool = True):
+        self.with_groups = with_groups
         with open(byte_level, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        special = {t["content"] for t in spec["added_tokens"]}
         back = {c: b for b, c in byte_characters().items()}
         spelled = {
             bytes(back[c] for c in token): i
@@ -73,71 +93,96 @@ class Aligner:
             "byte_level", pat_str=_CUTS, mergeable_ranks=spelled, special_tokens={}
         )
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.a_bytes = _table({i: token for token, i in spelled.items()})
-        self.b_bytes = _table({i: self._piece(i) for i in range(self.b.get_piece_size())})
-        self.a_lengths, self.b_lengths = (
-            np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes)
-        )
-        self.a_names, self.b_names = (
-            np.array([[f"{i}{end}" for i in range(len(table))] for end in ends], object)
-            for table, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))
-        )
-
-    def _piece(self, i: int) -> bytes:
-        if self.b.is_byte(i):
-            return bytes([int(self.b.id_to_piece(i)[3:-1], 16)])
-        return self.b.id_to_piece(i).replace(_SPACE, " ").encode()
-
-    def aligned(self, texts: list[str]) -> Iterator[Alignment]:
-        for a, b, text in zip(
-            self.a.encode_ordinary_batch([" " + t for t in texts], num_threads=1),
-            self.b.encode(texts, num_threads=1),
-            texts,
-        ):
-            yield Alignment(self, text, a, b)
-
-
-class Alignment:
-    """The tokens of one text; ``links`` are places in ``a`` and ``b`` that end together."""
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        if any(_SPACE in name.lstrip(_SPACE) for name in names):
+            raise ValueError("a piece goes on after a space inside it")
+        self.blank = self.b.piece_to_id(_SPACE)
+        self.a_bytes = {i: token for token, i in spelled.items()}
+        self.b_bytes = [
+            bytes([int(name[3:-1], 16)])
+            if self.b.is_byte(i)
+            else name.replace(_SPACE, " ").encode()
+            for i, name in enumerate(names)
+        ]
+        self.a_names = {i: str(i) for i in self.a_bytes}
+        self.b_names = [str(i) for i in range(len(names))]
+        self.known: dict[str, Word | None] = {}
+        self.older: dict[str, Word | None] = {}
+
+    def aligned(self, texts: list[str]) -> Iterator[list[Word] | None]:
+        """The words of each text; None for one that its tokens do not spell."""
+        cut = [_words(" " + text) if text else [] for text in texts]
+        if len(self.known) > HELD_WORDS:
+            self.older, self.known = self.known, {}
+        new = {w for words in cut for w in words}.difference(self.known)
+        for word in [w for w in new if w in self.older]:
+            self.known[word] = self.older[word]
+            new.remove(word)
+        fresh = list(new)
+        a = [self.a.encode_ordinary(w) for w in fresh]
+        # B puts the first space of a text itself, unless the text is empty.
+        b = self.b.encode([w[1:] for w in fresh], num_threads=1)
+        found = {
+            w: self._word(w, x, y if len(w) > 1 else [self.blank]) for w, x, y in zip(fresh, a, b)
+        }
+        self.known.update((w, f) for w, f in found.items() if len(w) <= LONGEST_HELD)
+        for words in cut:
+            held = [found[w] if w in found else self.known[w] for w in words]
+            yield None if None in held else held
 
-    def __init__(self, by: Aligner, text: str, a: list[int], b: list[int]):
-        spelled = b" " + text.encode()
+    def _word(self, word: str, a: list[int], b: list[int]) -> Word | None:
+        spelled = word.encode()
         if (
-            not text
-            or b"".join(map(by.a_bytes.__getitem__, a)) != spelled
-            or b"".join(map(by.b_bytes.__getitem__, b)) != spelled
+            b"".join([self.a_bytes[i] for i in a]) != spelled
+            or b"".join([self.b_bytes[i] for i in b]) != spelled
         ):
-            a, b = [], []
-        self.by = by
-        self.a, self.b = np.array(a, np.int64), np.array(b, np.int64)
+            return None
+        if not self.with_groups:
+            return Word(len(a), len(b), self._pairs(a, b), "")
+        pairs, groups, i, j = [], [], 0, 0
         # No token is empty, so at most one token of a tokenizer ends at an offset.
-        ends = by.a_lengths[self.a].cumsum(), by.b_lengths[self.b].cumsum()
-        _, self.a_last, self.b_last = np.intersect1d(*ends, assume_unique=True, return_indices=True)
-
-    def pairs(self) -> np.ndarray:
-        """The A and B id of every link as one number."""
-        return self.a[self.a_last].astype(np.uint64) << np.uint64(32) | self.b[self.b_last].astype(
-            np.uint64
-        )
-
-    def groups_digest(self) -> str:
-        if not len(self.a):
-            return ""
-        n_a, n_b = len(self.a), len(self.b)
-        a_group = np.searchsorted(self.a_last, np.arange(n_a))
-        b_group = np.searchsorted(self.b_last, np.arange(n_b))
-        names = np.empty(n_a + n_b, object)
-        b_before = np.concatenate([[0], self.b_last + 1])
-        a_through = self.a_last + 1
-        a_ends, b_ends = np.zeros(n_a, np.int64), np.zeros(n_b, np.int64)
-        a_ends[self.a_last], b_ends[self.b_last] = 1, 1
-        names[np.arange(n_a) + b_before[a_group]] = self.by.a_names[a_ends, self.a]
-        names[np.arange(n_b) + a_through[b_group]] = self.by.b_names[b_ends, self.b]
-        return hashlib.sha256("".join(names.tolist())[:-1].encode()).hexdigest()
-
-
-def _table(tokens: dict[int, bytes]) -> list[bytes]:
-    return [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        while i < len(a):
+            a_text, b_text = self.a_names[a[i]], self.b_names[b[j]]
+            a_end, b_end = len(self.a_bytes[a[i]]), len(self.b_bytes[b[j]])
+            while a_end != b_end:
+                if a_end < b_end:
+                    i += 1
+                    a_text += "," + self.a_names[a[i]]
+                    a_end += len(self.a_bytes[a[i]])
+                else:
+                    j += 1
+                    b_text += "," + self.b_names[b[j]]
+                    b_end += len(self.b_bytes[b[j]])
+            pairs.append(a[i] << 32 | b[j])
+            groups.append(f"{a_text}|{b_text}")
+            i += 1
+            j += 1
+        return Word(len(a), len(b), tuple(pairs), ";".join(groups))
+
+    def _pairs(self, a: list[int], b: list[int]) -> tuple[int, ...]:
+        ends = {}
+        end = 0
+        for i in a:
+            end += len(self.a_bytes[i])
+            ends[end] = i << 32
+        pairs, end = [], 0
+        for j in b:
+            end += len(self.b_bytes[j])
+            if end in ends:
+                pairs.append(ends[end] | j)
+        return tuple(pairs)
+
+
+def _words(text: str) -> list[str]:
+    """A text that starts with a space, cut where a space follows no white space."""
+    if _BLANKS.search(text):
+        return _CUT_AT.split(text)
+    return _WORDS.findall(text)
+
+
+_BLANKS = re.compile(r"[^\S ] ")
+_CUT_AT = re.compile(r"(?<=\S)(?= )")
+_WORDS = re.compile(r" +[^ ]*")
 
 
 def _ranked_by_id(model: dict, back: dict[str, int], spelled: dict[bytes, int]) -> None:
@@ -149,9 +194,9 @@ def _ranked_by_id(model: dict, back: dict[str, int], spelled: dict[bytes, int])
 
 
 @functools.lru_cache(maxsize=2)
-def aligner(byte_level: str, pieces: str) -> Aligner:
+def aligner(byte_level: str, pieces: str, with_groups: bool) -> Aligner:
     """The tokenizers of two files, read once in a Python worker."""
-    return Aligner(byte_level, pieces)
+    return Aligner(byte_level, pieces, with_groups)
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -171,7 +216,7 @@ def pair_counts(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
     are linked in those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, task = aligner(*files), TaskContext.get().partitionId()
+        by, task = aligner(*files, False), TaskContext.get().partitionId()
         pairs, links, number = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
 
         def held() -> pa.RecordBatch:
@@ -181,8 +226,12 @@ def pair_counts(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for start, end in _chunks(texts):
-                found = np.concatenate([t.pairs() for t in by.aligned(texts[start:end])])
-                found, often = np.unique(found, return_counts=True)
+                words = Counter(w for t in by.aligned(texts[start:end]) if t for w in t)
+                each = np.array([p for w in words for p in w.pairs], np.uint64)
+                times = np.repeat(list(words.values()), [len(w.pairs) for w in words])
+                found, place = np.unique(each, return_inverse=True)
+                often = np.zeros(len(found), np.int64)
+                np.add.at(often, place, times)
                 both, place = np.unique(np.concatenate([pairs, found]), return_inverse=True)
                 total = np.zeros(len(both), np.int64)
                 np.add.at(total, place, np.concatenate([links, often]))
@@ -305,12 +354,20 @@ class Counts:
         b = (self.index.keys & np.uint64(0xFFFFFFFF)).tolist()
         self.best = self.links == np.array([best[i] for i in b], np.int64)
 
-    def of(self, pairs: np.ndarray) -> tuple[int, int]:
-        """How many links have a highest count, and the sum of all their counts."""
+    def of(self, texts: list[list[Word]]) -> Iterator[tuple[int, int]]:
+        """Per text, how many links have a highest count, and the sum of all their counts."""
+        distinct = list({w for words in texts for w in words})
+        pairs = np.array([p for w in distinct for p in w.pairs], np.uint64)
         at = self.index.numbers(pairs)
         if (at < 0).any():
             raise ValueError("a pair was not counted")
-        return int(self.best[at].sum()), int(self.links[at].sum())
+        ends = np.cumsum([len(w.pairs) for w in distinct])
+        sums = (np.concatenate([[0], np.cumsum(x[at])]) for x in (self.best, self.links))
+        best, links = (np.diff(s[np.concatenate([[0], ends])].astype(np.int64)).tolist() for s in sums)
+        of_word = dict(zip(distinct, zip(best, links)))
+        for words in texts:
+            found = [of_word[w] for w in words]
+            yield sum(x for x, _ in found), sum(y for _, y in found)
 
 
 _HEAD = "rid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -319,6 +376,16 @@ _COLUMNS = (
 )
 
 
+def _totals(words: list[Word]) -> tuple[int, int, int, int, str]:
+    if not words:
+        return 0, 0, 0, 0, ""
+    links = sum([len(w.pairs) for w in words])
+    groups = ";".join([w.groups for w in words])
+    digest = hashlib.sha256(groups.encode()).hexdigest()
+    n_a, n_b = sum([w.n_a for w in words]), sum([w.n_b for w in words])
+    return n_a, n_b, links, links, digest
+
+
 def _realigned(docs: DataFrame, files: tuple[str, str], more: str, judged) -> DataFrame:
     """The texts aligned once more, with what ``judged`` makes of a text's pairs."""
     schema = f"{_HEAD}, {more}"
@@ -326,17 +393,12 @@ def _realigned(docs: DataFrame, files: tuple[str, str], more: str, judged) -> Da
     fields = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, judge = aligner(*files), judged()
+        by, judge = aligner(*files, True), judged()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for start, end in _chunks(texts):
-                rows = [
-                    (
-                        len(t.a), len(t.b), len(t.a_last), len(t.a_last), t.groups_digest(),
-                        *judge(t.pairs()),
-                    )
-                    for t in by.aligned(texts[start:end])
-                ]
+                words = [t or [] for t in by.aligned(texts[start:end])]
+                rows = [(*_totals(t), *more) for t, more in zip(words, judge(words))]
                 ids = [batch.column(c).slice(start, end - start) for c in ("rid", "doc_id")]
                 found = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(fields)[2:])]
                 yield pa.record_batch([*ids, *found], schema=fields)
@@ -371,9 +433,10 @@ def align(
         return found.select(*_COLUMNS)
 
     def as_pairs():
-        def judge(pairs: np.ndarray) -> tuple[list, list]:
-            ids, often = np.unique(pairs, return_counts=True)
-            return ids.view(np.int64).tolist(), often.tolist()
+        def judge(texts: list[list[Word]]) -> Iterator[tuple[list, list]]:
+            for words in texts:
+                pairs = Counter(p for w in words for p in w.pairs)
+                yield list(pairs), list(pairs.values())
 
         return judge
 

@@ -14,6 +14,7 @@ from tradespec.llm import (
     exact_dedup,
     fingerprints,
     hard_negatives,
+    html_extraction,
     jaccard_join,
     licenses,
     packing,
@@ -78,6 +79,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, labels(spark, sf_dir)))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_extraction.extract(pages, html_extraction.train(pages))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES)
     return alignment.align(documents(spark, sf_dir), *files)
@@ -108,6 +114,7 @@ QUERIES = {
         op8_licenses,
         op9_bpe,
         op10_quality,
+        op11_html_extraction,
         op12_alignment,
         op13_hard_negatives,
     )
