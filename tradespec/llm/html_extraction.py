@@ -240,7 +240,8 @@ def train(pages: DataFrame, rows: int = TRAINING_PAGES) -> Field:
         rows = sorted(zip(table["known"].to_pylist(), table["label"].to_pylist()))
         return pa.table({"field": [fit([(json.loads(k), g) for k, g in rows]).dumps()]})
 
-    found = training_set(pages, rows).groupBy(F.lit(0)).applyInArrow(run, "field string").first()
+    learned = training_set(pages, rows).groupBy(F.lit(0).alias("all"))
+    found = learned.applyInArrow(run, "field string").first()
     if found:
         return Field.loads(found[0])
     return fit([laid_out(p) for p in layouts(_SPARE, 0, LAYOUTS)])
