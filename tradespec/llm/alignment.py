@@ -4,13 +4,13 @@ A text is encoded by tokenizer A (byte-level BPE, after a space) and by tokenize
 (pieces, which add the space themselves). Byte offsets where tokens of both end cut the
 tokens into groups; a link is a pair of an A and a B token whose bytes end together.
 
-Two passes over the texts. The first aligns them and leaves, for every batch of a task,
-its distinct pairs with their counts. The distinct pairs of the corpus are split into
+Texts are encoded once and their ids written; two passes go over those. The first aligns
+them and leaves, for every batch of a task, its distinct pairs with their counts. The distinct pairs of the corpus are split into
 segments by a hash; each segment gets a minimal perfect hash, and the counts of its
 pairs are added up as dense vectors indexed by that hash: first a vector for
 every branch of batches, then those vectors among each other, as a tree. A pair
-found at a number is verified against the key kept there. The second pass aligns the
-texts again and looks the counts up.
+found at a number is verified against the key kept there. The second pass aligns
+the ids again and looks the counts up.
 
 The table of counts is handed to all tasks if it has :data:`BROADCAST_PAIRS` pairs at
 most; a larger one is joined with the pairs of the texts instead. The highest count of
@@ -28,10 +28,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -53,32 +50,17 @@ HELD_PAIRS = 1 << 19
 SEGMENT_PAIRS, BRANCH_ROWS, FAN_IN = 1 << 15, 1 << 20, 16
 #: Characters of texts encoded at once.
 CHUNK = 1 << 21
-#: Words of a tokenizer's memory, and characters of the longest one that is kept.
-HELD_WORDS, LONGEST_HELD = 200_000, 64
+#: Texts aligned before their counts are added up.
+ROWS = 512
 #: Fixed value: how the byte-level tokenizer cuts texts before it merges.
 _CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE = "▁"
 
 
-@dataclass(eq=False, slots=True)
-class Word:
-    """The tokens of a word: how many, its links as pair numbers, its groups as text."""
-
-    n_a: int
-    n_b: int
-    pairs: tuple[int, ...]
-    groups: str
-
-
 class Aligner:
-    """Both tokenizers with the bytes that each of their ids stands for.
-
-    Neither has a token that goes on from anything but white space to a space, so a
-    text is cut there and every word aligned once; what was found is kept for the next.
-    """
+    """Both tokenizers with the bytes that each of their ids stands for."""
 
-    def __init__(self, byte_level: str, pieces: str, with_groups: bool = True):
-        self.with_groups = with_groups
+    def __init__(self, byte_level: str, pieces: str):
         with open(byte_level, encoding="utf-8") as file:
             spec = json.load(file)
         special = {t["content"] for t in spec["added_tokens"]}
@@ -93,96 +75,70 @@ class Aligner:
             "byte_level", pat_str=_CUTS, mergeable_ranks=spelled, special_tokens={}
         )
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any(_SPACE in name.lstrip(_SPACE) for name in names):
-            raise ValueError("a piece goes on after a space inside it")
-        self.blank = self.b.piece_to_id(_SPACE)
-        self.a_bytes = {i: token for token, i in spelled.items()}
-        self.b_bytes = [
-            bytes([int(name[3:-1], 16)])
-            if self.b.is_byte(i)
-            else name.replace(_SPACE, " ").encode()
-            for i, name in enumerate(names)
-        ]
-        self.a_names = {i: str(i) for i in self.a_bytes}
-        self.b_names = [str(i) for i in range(len(names))]
-        self.known: dict[str, Word | None] = {}
-        self.older: dict[str, Word | None] = {}
-
-    def aligned(self, texts: list[str]) -> Iterator[list[Word] | None]:
-        """The words of each text; None for one that its tokens do not spell."""
-        cut = [_words(" " + text) if text else [] for text in texts]
-        if len(self.known) > HELD_WORDS:
-            self.older, self.known = self.known, {}
-        new = {w for words in cut for w in words}.difference(self.known)
-        for word in [w for w in new if w in self.older]:
-            self.known[word] = self.older[word]
-            new.remove(word)
-        fresh = list(new)
-        a = [self.a.encode_ordinary(w) for w in fresh]
-        # B puts the first space of a text itself, unless the text is empty.
-        b = self.b.encode([w[1:] for w in fresh], num_threads=1)
-        found = {
-            w: self._word(w, x, y if len(w) > 1 else [self.blank]) for w, x, y in zip(fresh, a, b)
-        }
-        self.known.update((w, f) for w, f in found.items() if len(w) <= LONGEST_HELD)
-        for words in cut:
-            held = [found[w] if w in found else self.known[w] for w in words]
-            yield None if None in held else held
-
-    def _word(self, word: str, a: list[int], b: list[int]) -> Word | None:
-        spelled = word.encode()
-        if (
-            b"".join([self.a_bytes[i] for i in a]) != spelled
-            or b"".join([self.b_bytes[i] for i in b]) != spelled
-        ):
-            return None
-        if not self.with_groups:
-            return Word(len(a), len(b), self._pairs(a, b), "")
-        pairs, groups, i, j = [], [], 0, 0
+        tokens = {i: token for token, i in spelled.items()}
+        self.a_bytes = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.ids = "<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4"
+        self.a_lengths, self.b_lengths = (
+            np.array([len(t) for t in table]) for table in (self.a_bytes, self.b_bytes)
+        )
+        self.a_names, self.b_names = (
+            np.array([[f"{i}{end}" for i in range(len(table))] for end in ends], object)
+            for table, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))
+        )
+
+    def _piece(self, i: int) -> bytes:
+        if self.b.is_byte(i):
+            return bytes([int(self.b.id_to_piece(i)[3:-1], 16)])
+        return self.b.id_to_piece(i).replace(_SPACE, " ").encode()
+
+    def encoded(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """The ids of A and B for every text; none if they do not spell it."""
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+            a, spelled = self.a.encode_ordinary(" " + text) if text else [], b" " + text.encode()
+            if (
+                b"".join([self.a_bytes[i] for i in a]) == spelled
+                and b"".join([self.b_bytes[i] for i in b]) == spelled
+            ):
+                yield a, b
+            else:
+                yield [], []
+
+
+class Alignment:
+    """The tokens of one text; ``a_last`` and ``b_last`` are their places that end together."""
+
+    def __init__(self, by: Aligner, a: bytes, b: bytes):
+        self.by, self.a, self.b = by, np.frombuffer(a, by.ids), np.frombuffer(b, by.ids)
+        a_ends, b_ends = by.a_lengths[self.a].cumsum(), by.b_lengths[self.b].cumsum()
         # No token is empty, so at most one token of a tokenizer ends at an offset.
-        while i < len(a):
-            a_text, b_text = self.a_names[a[i]], self.b_names[b[j]]
-            a_end, b_end = len(self.a_bytes[a[i]]), len(self.b_bytes[b[j]])
-            while a_end != b_end:
-                if a_end < b_end:
-                    i += 1
-                    a_text += "," + self.a_names[a[i]]
-                    a_end += len(self.a_bytes[a[i]])
-                else:
-                    j += 1
-                    b_text += "," + self.b_names[b[j]]
-                    b_end += len(self.b_bytes[b[j]])
-            pairs.append(a[i] << 32 | b[j])
-            groups.append(f"{a_text}|{b_text}")
-            i += 1
-            j += 1
-        return Word(len(a), len(b), tuple(pairs), ";".join(groups))
-
-    def _pairs(self, a: list[int], b: list[int]) -> tuple[int, ...]:
-        ends = {}
-        end = 0
-        for i in a:
-            end += len(self.a_bytes[i])
-            ends[end] = i << 32
-        pairs, end = [], 0
-        for j in b:
-            end += len(self.b_bytes[j])
-            if end in ends:
-                pairs.append(ends[end] | j)
-        return tuple(pairs)
-
-
-def _words(text: str) -> list[str]:
-    """A text that starts with a space, cut where a space follows no white space."""
-    if _BLANKS.search(text):
-        return _CUT_AT.split(text)
-    return _WORDS.findall(text)
-
-
-_BLANKS = re.compile(r"[^\S ] ")
-_CUT_AT = re.compile(r"(?<=\S)(?= )")
-_WORDS = re.compile(r" +[^ ]*")
+        place = np.full(int(a_ends[-1]) + 1 if len(a_ends) else 1, -1, np.int32)
+        place[a_ends] = np.arange(len(a_ends), dtype=np.int32)
+        met = place[b_ends]
+        self.b_last = np.flatnonzero(met >= 0)
+        self.a_last = met[self.b_last]
+
+    def pairs(self) -> np.ndarray:
+        """The A and B id of every link as one number."""
+        a, b = self.a[self.a_last].astype(np.uint64), self.b[self.b_last].astype(np.uint64)
+        return a << np.uint64(32) | b
+
+    def groups_digest(self) -> str:
+        n_a, n_b = len(self.a), len(self.b)
+        if not n_a:
+            return ""
+        a_ends, b_ends = np.zeros(n_a, np.int8), np.zeros(n_b, np.int8)
+        a_ends[self.a_last] = b_ends[self.b_last] = 1
+        a_sizes = np.diff(self.a_last, prepend=-1)
+        b_sizes = np.diff(self.b_last, prepend=-1)
+        # A's tokens stand after the B tokens of earlier groups, B's after the A tokens
+        # of their own group too.
+        names = np.empty(n_a + n_b, object)
+        a_at = np.arange(n_a) + np.repeat(self.b_last + 1 - b_sizes, a_sizes)
+        b_at = np.arange(n_b) + np.repeat(self.a_last + 1, b_sizes)
+        names[a_at] = self.by.a_names[a_ends, self.a]
+        names[b_at] = self.by.b_names[b_ends, self.b]
+        return hashlib.sha256("".join(names.tolist())[:-1].encode()).hexdigest()
 
 
 def _ranked_by_id(model: dict, back: dict[str, int], spelled: dict[bytes, int]) -> None:
@@ -194,9 +150,9 @@ def _ranked_by_id(model: dict, back: dict[str, int], spelled: dict[bytes, int])
 
 
 @functools.lru_cache(maxsize=2)
-def aligner(byte_level: str, pieces: str, with_groups: bool) -> Aligner:
+def aligner(byte_level: str, pieces: str) -> Aligner:
     """The tokenizers of two files, read once in a Python worker."""
-    return Aligner(byte_level, pieces, with_groups)
+    return Aligner(byte_level, pieces)
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -211,12 +167,36 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def pair_counts(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
+def encoded(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
+    """``doc_id, a, b``: the ids of both tokenizers for every row, as arrays of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = aligner(*files)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for start, end in _chunks(texts):
+                both = zip(*by.encoded(texts[start:end]))
+                a, b = ([np.array(x, by.ids).tobytes() for x in side] for side in both)
+                ids = batch.column("doc_id").slice(start, end - start)
+                yield pa.record_batch(
+                    [ids, pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+                    names=["doc_id", "a", "b"],
+                )
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, a binary, b binary")
+
+
+def _aligned(by: Aligner, batch: pa.RecordBatch) -> Iterator[Alignment]:
+    for a, b in zip(batch.column("a"), batch.column("b")):
+        yield Alignment(by, a.as_py(), b.as_py())
+
+
+def pair_counts(tokens: DataFrame, files: tuple[str, str]) -> DataFrame:
     """``batch, pair, links``: the distinct pairs of some texts of a task and how often they
     are linked in those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, task = aligner(*files, False), TaskContext.get().partitionId()
+        by, task = aligner(*files), TaskContext.get().partitionId()
         pairs, links, number = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
 
         def held() -> pa.RecordBatch:
@@ -224,14 +204,10 @@ def pair_counts(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
             return pa.record_batch([pa.array(c) for c in columns], names=["batch", "pair", "links"])
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in _chunks(texts):
-                words = Counter(w for t in by.aligned(texts[start:end]) if t for w in t)
-                each = np.array([p for w in words for p in w.pairs], np.uint64)
-                times = np.repeat(list(words.values()), [len(w.pairs) for w in words])
-                found, place = np.unique(each, return_inverse=True)
-                often = np.zeros(len(found), np.int64)
-                np.add.at(often, place, times)
+            for start in range(0, batch.num_rows, ROWS):
+                some = batch.slice(start, ROWS)
+                found = np.concatenate([t.pairs() for t in _aligned(by, some)])
+                found, often = np.unique(found, return_counts=True)
                 both, place = np.unique(np.concatenate([pairs, found]), return_inverse=True)
                 total = np.zeros(len(both), np.int64)
                 np.add.at(total, place, np.concatenate([links, often]))
@@ -241,7 +217,7 @@ def pair_counts(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
                     pairs, links, number = pairs[:0], links[:0], number + 1
         yield held()
 
-    return texts_of(docs).select("text").mapInArrow(run, "batch long, pair long, links long")
+    return tokens.select("a", "b").mapInArrow(run, "batch long, pair long, links long")
 
 
 def _keys(table: pa.Table) -> np.ndarray:
@@ -354,20 +330,12 @@ class Counts:
         b = (self.index.keys & np.uint64(0xFFFFFFFF)).tolist()
         self.best = self.links == np.array([best[i] for i in b], np.int64)
 
-    def of(self, texts: list[list[Word]]) -> Iterator[tuple[int, int]]:
-        """Per text, how many links have a highest count, and the sum of all their counts."""
-        distinct = list({w for words in texts for w in words})
-        pairs = np.array([p for w in distinct for p in w.pairs], np.uint64)
+    def of(self, pairs: np.ndarray) -> tuple[int, int]:
+        """How many links have a highest count, and the sum of all their counts."""
         at = self.index.numbers(pairs)
         if (at < 0).any():
             raise ValueError("a pair was not counted")
-        ends = np.cumsum([len(w.pairs) for w in distinct])
-        sums = (np.concatenate([[0], np.cumsum(x[at])]) for x in (self.best, self.links))
-        best, links = (np.diff(s[np.concatenate([[0], ends])].astype(np.int64)).tolist() for s in sums)
-        of_word = dict(zip(distinct, zip(best, links)))
-        for words in texts:
-            found = [of_word[w] for w in words]
-            yield sum(x for x, _ in found), sum(y for _, y in found)
+        return int(self.best[at].sum()), int(self.links[at].sum())
 
 
 _HEAD = "rid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -376,34 +344,27 @@ _COLUMNS = (
 )
 
 
-def _totals(words: list[Word]) -> tuple[int, int, int, int, str]:
-    if not words:
-        return 0, 0, 0, 0, ""
-    links = sum([len(w.pairs) for w in words])
-    groups = ";".join([w.groups for w in words])
-    digest = hashlib.sha256(groups.encode()).hexdigest()
-    n_a, n_b = sum([w.n_a for w in words]), sum([w.n_b for w in words])
-    return n_a, n_b, links, links, digest
-
-
-def _realigned(docs: DataFrame, files: tuple[str, str], more: str, judged) -> DataFrame:
-    """The texts aligned once more, with what ``judged`` makes of a text's pairs."""
+def _realigned(tokens: DataFrame, files: tuple[str, str], more: str, judged) -> DataFrame:
+    """The tokens aligned once more, with what ``judged`` makes of a text's pairs."""
     schema = f"{_HEAD}, {more}"
     kinds = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
     fields = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, judge = aligner(*files, True), judged()
+        by, judge = aligner(*files), judged()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in _chunks(texts):
-                words = [t or [] for t in by.aligned(texts[start:end])]
-                rows = [(*_totals(t), *more) for t, more in zip(words, judge(words))]
-                ids = [batch.column(c).slice(start, end - start) for c in ("rid", "doc_id")]
+            for start in range(0, batch.num_rows, ROWS):
+                some = batch.slice(start, ROWS)
+                rows = []
+                for t in _aligned(by, some):
+                    links = len(t.a_last)
+                    head = len(t.a), len(t.b), links, links, t.groups_digest()
+                    rows.append((*head, *judge(t.pairs())))
                 found = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(fields)[2:])]
+                ids = [some.column("rid"), some.column("doc_id")]
                 yield pa.record_batch([*ids, *found], schema=fields)
 
-    return docs.select("rid", "doc_id", "text").mapInArrow(run, schema)
+    return tokens.select("rid", "doc_id", "a", "b").mapInArrow(run, schema)
 
 
 def align(
@@ -411,10 +372,11 @@ def align(
 ) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of every row."""
     spark, files = docs.sparkSession, (byte_level, pieces)
-    counted = written(pair_counts(docs, files), "pair_counts")
+    tokens = written(encoded(docs, files), "tokens")
+    counted = written(pair_counts(tokens, files), "pair_counts")
     counts = corpus_counts(counted)
     best = best_counts(counts)
-    numbered = texts_of(docs).withColumn("rid", F.monotonically_increasing_id())
+    numbered = tokens.withColumn("rid", F.monotonically_increasing_id())
     size = counts.agg(F.sum(F.length("pairs"))).first()[0] or 0
     if size <= 8 * broadcast_pairs:
         rows = counts.select("pairs", "links").collect()
@@ -433,10 +395,9 @@ def align(
         return found.select(*_COLUMNS)
 
     def as_pairs():
-        def judge(texts: list[list[Word]]) -> Iterator[tuple[list, list]]:
-            for words in texts:
-                pairs = Counter(p for w in words for p in w.pairs)
-                yield list(pairs), list(pairs.values())
+        def judge(pairs: np.ndarray) -> tuple[list, list]:
+            ids, often = np.unique(pairs, return_counts=True)
+            return ids.view(np.int64).tolist(), often.tolist()
 
         return judge
 
