@@ -99,20 +99,23 @@ def test_top_products_need_no_full_sort(stored):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_hot_keys_of_the_record_join_can_be_split(stored, spark):
-    """The records meet an inner join, both sides of which can be split; the anti
-    join only meets their distinct keys."""
-    records = stored["exports"].select(
+def test_the_three_source_table_reads_its_inputs_once(stored, spark, tmp_path):
+    """The records are read once for the join and once, their keys alone, for the sketch."""
+    path = str(tmp_path / "records")
+    stored["exports"].select(
         F.col("headingCode").alias("cmdCode"),
         F.col("year").cast("long").alias("refYear"),
         F.regexp_replace("state", "S", "C").alias("reporterISO"),
         F.col("metricFOB").alias("primaryValue"),
-    )
-    # As with tables too large to broadcast.
-    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
-        table = three_source_table(stored["countries"], records, stored["exports"])
-        plan = explain(table)
-    assert "SortMergeJoin Inner" in plan and "SortMergeJoin LeftAnti" in plan
+    ).write.parquet(path)
+    # As with tables too large to broadcast, and as with small ones.
+    for threshold in ("-1", "10m"):
+        with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": threshold}):
+            records = spark.read.parquet(path)
+            table = three_source_table(stored["countries"], records, stored["exports"])
+            assert final_scans(table, "countries") == 1
+            assert final_scans(table, "exports") == 1
+            assert final_scans(table, "records") == 2
 
 
 @contextlib.contextmanager
@@ -146,10 +149,53 @@ def test_a_third_of_the_records_under_one_key_is_split(spark):
         "spark.sql.shuffle.partitions": "16",
     }
     with settings(spark, **small):
-        joined = left_join_many(left, records, ("key",), ("k",), "_r")
+        joined = left_join_many(left, records, ("key",), ("k",), "_r", hot_rows=1000)
         rows = joined.collect()
-        plan = explain(joined)
-    assert "SortMergeJoin(skew=true) Inner" in plan
+    with settings(spark, **small, **{"spark.sql.adaptive.enabled": "false"}):
+        joined = left_join_many(left, records, ("key",), ("k",), "_r", hot_rows=1000)
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    # The hot key alone has 20000 rows; it is dealt in parts of about 1000.
+    assert max(r["count"] for r in sizes) < 8000
     assert len(rows) == 60000 + 2  # k97 and k98 have no records
     assert sum(r["key"] == "hot" for r in rows) == 20000
     assert sorted(r["key"] for r in rows if r["id"] is None) == ["k97", "k98"]
+
+
+def test_the_join_to_many_reads_each_side_once(spark, tmp_path):
+    paths = {}
+    for side in ("left", "right"):
+        paths[side] = str(tmp_path / side)
+        spark.range(3000).selectExpr("id % 50 AS k", "id AS n", "id AS m").write.parquet(paths[side])
+    for threshold in ("-1", "10m"):
+        with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": threshold}):
+            left, right = (spark.read.parquet(paths[s]).alias(s) for s in ("left", "right"))
+            joined = left_join_many(left, right, ("k",), ("k",), "_r")
+            assert joined.count() == 3000 * 60
+            assert final_scans(joined, "left") == 1
+            # Beside the join, a sketch reads the key column of the right side alone.
+            assert final_scans(joined, "right") == 2
+
+
+def test_hot_keys_of_several_types_are_told_apart(spark):
+    right = spark.createDataFrame(
+        [("a", -0.0, i) for i in range(30)] + [("b", 1.0, 1), (None, 2.0, 3)] * 5,
+        "k string, d double, n long",
+    )
+    left = spark.createDataFrame(
+        [("a", 0.0, 1), ("a", 0.0, 2), ("b", 1.0, 3), ("c", 0.0, 4), (None, 2.0, 5)],
+        "k string, d double, id long",
+    )
+    joined = left_join_many(left, right, ("k", "d"), ("k", "d"), "_r", hot_rows=4)
+    assert joined.columns == ["k", "d", "id", "n"]
+    rows = [(r.id, r.n) for r in joined.collect()]
+    assert sorted(n for i, n in rows if i == 1) == list(range(30))
+    assert sorted(n for i, n in rows if i == 2) == list(range(30))
+    assert [n for i, n in rows if i == 3] == [1] * 5
+    assert sorted(i for i, n in rows if n is None) == [4, 5]
+
+
+def test_keys_of_different_types_join_by_the_rules_of_the_engine(spark):
+    left = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    right = spark.createDataFrame([(1, 10), (1, 11)], "k long, n long")
+    joined = left_join_many(left, right, ("k",), ("k",), "_r", hot_rows=1)
+    assert sorted(joined.collect(), key=str) == [(1, "x", 10), (1, "x", 11), (2, "y", None)]

@@ -16,30 +16,46 @@ def read_payload_rows(
     path: str,
     row_schema: T.StructType | str,
     multi_line: bool = False,
+    unknown: str | None = None,
 ) -> DataFrame:
     """Rows of JSON payloads: those under ``data.list``, or ``data`` itself.
 
     Both shapes may be mixed in one folder. A payload without data gives no
-    rows. One payload per line by default, one per file with ``multi_line``; the
-    rows of a payload are one task's, so a landing step should page its requests.
-
-    Fields arrive as text and are cast: quoted numbers count, whole numbers may be
-    written as ``5.0``, and what does not fit its type becomes null.
+    rows, and so does one that is not JSON or names a field twice. One payload
+    per line by default, one per file with ``multi_line``; the rows of a payload
+    are one task's, so a landing step should page its requests.
+
+    A payload is parsed once, into a variant, of which only the paths of the
+    known fields are looked up. Quoted numbers count, whole numbers may be written
+    as ``5.0``, and what does not fit its type becomes null. ``unknown`` names a
+    column of type ``map<string,variant>`` for the fields that the schema does
+    not have; without it they are dropped.
     """
     row_type = (
         T.StructType.fromDDL(row_schema) if isinstance(row_schema, str) else row_schema
     )
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in row_type])
-    rows = T.ArrayType(as_text)
-    wrapped = T.StructType([T.StructField("list", rows)])
-    # Reading `data` as text accepts an object and an array alike.
-    payloads = spark.read.json(path, schema="data STRING", multiLine=multi_line)
-    found = F.when(
-        F.ltrim("data").startswith("["), F.from_json("data", rows)
-    ).otherwise(F.from_json("data", wrapped)["list"])
-    return payloads.select(F.explode(found).alias("row")).select(
-        *(_typed(F.col("row")[f.name], f.dataType).alias(f.name) for f in row_type)
+    lines = spark.read.text(path, wholetext=multi_line)
+    parsed = lines.select(F.try_parse_json("value").alias("parsed"))
+    several = F.try_variant_get("parsed", "$", "array<variant>")
+    payloads = parsed.select(
+        F.explode(F.coalesce(several, F.array("parsed"))).alias("payload")
+    )
+    found = F.coalesce(
+        F.try_variant_get("payload", "$.data.list", "array<variant>"),
+        F.try_variant_get("payload", "$.data", "array<variant>"),
     )
+    rows = payloads.select(F.explode(found).alias("row"))
+    fields = [
+        _typed(F.try_variant_get("row", f"$['{f.name}']", "string"), f.dataType).alias(f.name)
+        for f in row_type
+    ]
+    if unknown is not None:
+        known = F.array(*[F.lit(f.name) for f in row_type])
+        every = F.try_variant_get("row", "$", "map<string,variant>")
+        fields.append(
+            F.map_filter(every, lambda name, _: ~F.array_contains(known, name)).alias(unknown)
+        )
+    return rows.select(*fields)
 
 
 def _typed(text: Column, kind: T.DataType) -> Column:

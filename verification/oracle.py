@@ -327,6 +327,13 @@ _LUMP_ONE_STATE = over(
 _ROLLUP_QUERY = over("bridge", "SELECT * FROM rollup_codes", _ROLLUP)
 
 
+_SPOILED = """spoiled AS (
+  SELECT CASE WHEN "metricFOB" % 53 = 0 THEN 'n.d.' ELSE CAST("year" AS VARCHAR) END AS "year",
+    state, "headingCode", heading,
+    CASE "metricFOB" % 50 WHEN 0 THEN 'abc' WHEN 1 THEN '1e400'
+      ELSE CAST("metricFOB" AS VARCHAR) END AS "metricFOB"
+  FROM exports)"""
+
 ORACLE_SQL: dict[str, str] = {
     # sources and sinks
     "src1_exports_csv": _ALL_EXPORTS,
@@ -560,6 +567,41 @@ ORACLE_SQL: dict[str, str] = {
           ON c.product_hs92_code = r."cmdCode" AND c."year" = r."refYear"
          AND c.country_iso3_code = r."reporterISO" """,
     ),
+    "jn7_hot_key_join": over(
+        "country_product trade_records",
+        """SELECT p.code, CAST(p.v AS BIGINT) AS export_value, r."flowCode", r."partnerCode",
+        r.qty, r."primaryValue"
+        FROM (
+          SELECT product_hs92_code AS code, sum(export_value) AS v
+          FROM country_product GROUP BY 1
+          UNION ALL SELECT '0000', 0 UNION ALL SELECT '9999', 0) p
+        LEFT JOIN trade_records r
+        ON p.code = CASE WHEN r."refMonth" % 3 = 0 THEN '0000' ELSE r."cmdCode" END """,
+    ),
+    "src1_rejected_cells": over(
+        "exports",
+        """SELECT "column", "text", 'unfit' AS reason, record FROM (
+          SELECT unnest(["year", "metricFOB"]) AS "text", unnest(['year', 'metricFOB']) AS "column",
+            concat("year", ',', state, ',', "headingCode", ',', heading, ',', "metricFOB") AS record
+          FROM spoiled)
+        WHERE "text" IN ('n.d.', 'abc', '1e400')""",
+        _SPOILED,
+    ),
+    "src1_reject_counts": over(
+        "exports",
+        """SELECT count(*) AS "rows",
+        CAST(count(*) FILTER ("year" = 'n.d.' OR "metricFOB" IN ('abc', '1e400')) AS BIGINT)
+          AS rejected_rows,
+        CAST(count(*) FILTER ("year" = 'n.d.') + count(*) FILTER ("metricFOB" IN ('abc', '1e400'))
+          AS BIGINT) AS rejected_cells
+        FROM spoiled""",
+        _SPOILED,
+    ),
+    "src9_unknown_fields": over(
+        "exports",
+        """SELECT "year", state, CAST(NULL AS VARCHAR) AS "headingCode",
+        CAST(NULL AS VARCHAR) AS heading, "metricFOB", heading AS more FROM exports""",
+    ),
     "jn8_code_and_year_join": over(
         "exports country_product",
         """SELECT c.product_hs92_code, c."year", c.country_iso3_code, c.export_value,

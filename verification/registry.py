@@ -35,7 +35,7 @@ from tradespec.plans import (
     three_source,
     trade_records,
 )
-from tradespec.sources import landed, readers, schemas, sinks
+from tradespec.sources import checked, landed, readers, schemas, sinks
 from tradespec.sources.tables import TradeTables
 from verification import shared
 from verification import star_views as star
@@ -97,6 +97,38 @@ def _(spark, folder):
     )
 
 
+def _spoiled_exports(spark, folder):
+    """The exports as a CSV file in which some years and values are no numbers."""
+    value = F.col("metricFOB")
+    spoiled = star.exports(spark, folder).select(
+        F.when(value % 53 == 0, F.lit("n.d.")).otherwise(F.col("year").cast("string")).alias("year"),
+        "state",
+        "headingCode",
+        "heading",
+        F.when(value % 50 == 0, F.lit("abc"))
+        .when(value % 50 == 1, F.lit("1e400"))
+        .otherwise(value.cast("string"))
+        .alias("metricFOB"),
+    )
+    path = _written(spark, spoiled, "spoiled")
+    return checked.read_checked_csv(spark, path, schemas.EXPORTS)
+
+
+@query("src1_rejected_cells")
+def _(spark, folder):
+    return _spoiled_exports(spark, folder).rejects.select("column", "text", "reason", "record")
+
+
+@query("src1_reject_counts")
+def _(spark, folder):
+    """What writing the table tells of its rejects."""
+    found = _spoiled_exports(spark, folder)
+    found.table.write.parquet(shared.new_path(spark, "checked"))
+    counts = found.counts.get
+    names_ = ("rows", "rejected_rows", "rejected_cells")
+    return spark.range(1).select(*[F.lit(counts[n]).cast("long").alias(n) for n in names_])
+
+
 @query("src2_country_product_csv")
 def _(spark, folder):
     path = _written(spark, star.country_product(spark, folder), "country_product")
@@ -207,6 +239,22 @@ def _(spark, folder):
     return ingest.landed_exports(spark, path)
 
 
+@query("src9_unknown_fields")
+def _(spark, folder):
+    """Payloads with a field that the schema has not and without one that it has."""
+    export = star.exports(spark, folder)
+    row = F.struct(
+        "year", "state", "metricFOB", F.struct(F.col("heading").alias("text")).alias("more")
+    )
+    path = shared.new_path(spark, "payloads")
+    export.select(
+        F.to_json(F.struct(F.struct(F.array(row).alias("list")).alias("data")))
+    ).write.text(path)
+    rows = landed.read_payload_rows(spark, path, schemas.EXPORTS, unknown="unknown")
+    more = F.try_variant_get(F.col("unknown")["more"], "$.text", "string")
+    return rows.withColumn("more", more).drop("unknown")
+
+
 @query("src10_dataset_folder")
 def _(spark, folder):
     """Latest year of the named table of a landed data set."""
@@ -533,6 +581,27 @@ def _(spark, folder):
     )
 
 
+@query("jn7_hot_key_join")
+def _(spark, folder):
+    """A third of the records have one key, which is split; one product has no records."""
+    records = star.trade_records(spark, folder).withColumn(
+        "lane", F.when(F.col("refMonth") % 3 == 0, F.lit("0000")).otherwise(F.col("cmdCode"))
+    )
+    others = spark.createDataFrame([("0000", 0), ("9999", 0)], "code string, export_value long")
+    products = (
+        star.country_product(spark, folder)
+        .groupBy(F.col("product_hs92_code").alias("code"))
+        .agg(F.sum("export_value").alias("export_value"))
+        .unionByName(others)
+    )
+    joined = left_join_many(
+        products, records, ("code",), ("lane",), "_comtrade", hot_rows=1000
+    )
+    return joined.select(
+        "code", "export_value", "flowCode", "partnerCode", "qty", "primaryValue"
+    )
+
+
 @query("jn8_code_and_year_join")
 def _(spark, folder):
     joined = left_join_one(
