@@ -8,10 +8,12 @@ again on further sampled tokens; runs are repeated until a pair at the threshold
 is missed with less than the chance that the target recall leaves.
 
 A large bucket of near copies does not get smaller by splitting. Before a split
-its members are compared with one of them, the pivot. Members very close to the
-pivot leave with their link to it: whatever is similar to them is close enough to
-the pivot to be linked with it as well. Buckets still large after the last split
-are compared in blocks, so no bucket is capped.
+its members are compared with one of them, the pivot, which connects all that
+agree with it. A few strangers to it are compared with the whole bucket, and it is
+done; only buckets with many are split. Members very close to the pivot leave with
+their link to it: whatever is similar to them is close enough to the pivot to be
+linked with it as well. Buckets still large after the last split are compared in
+blocks, so no bucket is capped.
 
 Buckets compare sketches and give candidate links with a margin. Documents that
 hang together by candidates are then compared exactly, set by set, every pair
@@ -20,7 +22,7 @@ text are one member that counts as often as it occurs.
 
 Defined results: ``class_id`` is the smallest id of the documents that links
 connect, ``n_links`` counts the other documents at or over the threshold, copies
-included. Texts of fewer words than n have one n-gram, all their words; texts
+included; several texts may share an id, each is in its own class then. Texts of fewer words than n have one n-gram, all their words; texts
 without words are alike only where they are equal. Rows repeated with one id are
 copies; a missing id counts as one of its own for each text.
 """
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradespec.llm.common import texts_of, written
@@ -48,15 +50,25 @@ CANDIDATE, CLOSE = 0.59, 0.94
 #: Rows of a bucket or block compared at once, and splits of a run.
 BLOCK = 256
 SPLITS = 3
-#: Members of candidate groups that may be broadcast (16 bytes each).
-BROADCAST_ROWS = 1_000_000
+#: Members of a large bucket that are tried as its pivot, strangers to it that are
+#: compared with the whole bucket, and rows of the bucket they meet at once.
+PIVOTS, STRANGERS, ROWS = 6, 512, 2048
+#: Runs before the members that are very close to a pivot leave for good.
+AHEAD = 2
+#: Rows of buckets, and texts to verify, that one task compares.
+TASK_ROWS, TASK_TEXTS = 8192, 512
+#: Members of candidate groups that may be broadcast (about 64 bytes each).
+BROADCAST_ROWS = 500_000
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def runs_for(threshold: float, recall: float) -> int:
     """Runs after which a pair at the threshold was split apart in all of them with
-    a chance of ``1 - recall`` at most."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+    a chance of ``1 - recall`` at most, be it in buckets that are split to the end."""
+    if threshold >= 1:
+        return 1
+    stays = threshold * (1 - (1 - threshold) ** 2) ** SPLITS
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - stays)))
 
 
 def shingles(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,18 +122,30 @@ def sketches(docs: DataFrame, n: int, runs: int) -> DataFrame:
                 short = (mixed(least) & np.uint64(0xFFFF)).astype("<u2")
                 yield pd.DataFrame(
                     {
-                        "doc_id": batch["doc_id"].iloc[a:b].astype("Int64").to_numpy(),
+                        "doc_id": batch["doc_id"].iloc[a:b].to_numpy(),
                         "key": batch["key"].iloc[a:b].to_numpy(),
                         "roots": [r[:runs].view(np.int64) if s else None for r, s in zip(least, some)],
                         "sketch": [r.tobytes() if s else None for r, s in zip(short, some)],
                     }
                 )
 
-    return (
+    # Ids go through as text: pandas would make doubles of longs beside a missing one.
+    found = (
         texts_of(docs)
-        .select("doc_id", "text", F.sha2("text", 256).alias("key"))
-        .mapInPandas(run, "doc_id long, key string, roots array<long>, sketch binary")
+        .select(F.col("doc_id").cast("string").alias("doc_id"), "text", _digest("text").alias("key"))
+        .mapInPandas(run, "doc_id string, key binary, roots array<long>, sketch binary")
     )
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _dealt(rows: DataFrame, each: int, *keys: str) -> DataFrame:
+    """Written rows by their keys, in as many tasks as their number asks for: what Python
+    does with them costs time that their bytes do not tell."""
+    return rows.repartition(max(1, -(-rows.count() // each)), *keys)
 
 
 def _forest(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +174,94 @@ def _compare_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b})
 
 
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    x = np.frombuffer(b"".join(a), "<u2").reshape(-1, SKETCH)
-    y = np.frombuffer(b"".join(b), "<u2").reshape(-1, SKETCH)
-    return pd.Series((x == y).mean(axis=1))
+def _sketches(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u2").reshape(-1, SKETCH)
+
+
+def _agreement(one: pd.Series, several: pd.Series) -> pd.Series:
+    """How far a sketch agrees with each of several packed ones."""
+    return pd.Series(
+        [(_sketches(b) == _sketches(a)).mean(axis=1).tolist() for a, b in zip(one, several)]
+    )
+
+
+def _against_pivot(large: DataFrame) -> DataFrame:
+    """``path, v, sketch, pivot, alike, strangers``: large buckets against one member each.
+
+    Of a few members, in random orders of them, the pivot is the one that most others
+    agree with; strangers are how many do not.
+    """
+    agreement = F.pandas_udf(_agreement, "array<double>")
+    tried = large.groupBy("path").agg(
+        *[
+            F.min_by(F.struct("v", "sketch"), F.xxhash64(F.lit(k), "v")).alias(f"p{k}")
+            for k in range(PIVOTS)
+        ]
+    )
+    tried = tried.select(
+        "path",
+        F.array(*[F.col(f"p{k}.v") for k in range(PIVOTS)]).alias("pivots"),
+        F.concat(*[F.col(f"p{k}.sketch") for k in range(PIVOTS)]).alias("of_pivots"),
+    )
+    compared = written(
+        large.join(tried, "path").select(
+            "path", "size", "v", "sketch", "pivots",
+                agreement("sketch", "of_pivots").alias("agreed"),
+        ),
+        "agreed",
+    )
+    alike = [
+        F.count_if(F.get("agreed", F.lit(k)) >= CANDIDATE).alias(f"n{k}") for k in range(PIVOTS)
+    ]
+    best = compared.groupBy("path").agg(F.count(F.lit(1)).alias("all"), *alike)
+    counts = F.array(*[F.col(f"n{k}") for k in range(PIVOTS)])
+    best = best.select(
+        "path",
+        (F.array_position(counts, F.array_max(counts)) - 1).cast("int").alias("at"),
+        (F.col("all") - F.array_max(counts)).alias("strangers"),
+    )
+    return compared.join(best, "path").select(
+        "path",
+        "size",
+        "v",
+        "sketch",
+        F.get("pivots", "at").alias("pivot"),
+        F.get("agreed", "at").alias("alike"),
+        "strangers",
+    )
+
+
+def _few_strangers(judged: DataFrame) -> DataFrame:
+    """Links of a bucket's few strangers, each compared with all of its bucket, in blocks:
+    to each other, and to one of each block that the pivot has connected."""
+    parts = F.ceil(F.col("size") / ROWS).cast("int")
+    keys = ["path", "part"]
+    strange = F.col("alike") < CANDIDATE
+    asked = judged.select("path", F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"), "v", "sketch", strange.alias("strange"))
+    asking = judged.filter(strange).select(
+        F.col("path").alias("path"),
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
+        F.col("v").alias("s"),
+        F.col("sketch").alias("of_s"),
+    )
+
+    def compare(members: pd.DataFrame, strangers: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(members) and len(strangers):
+            members = members.sort_values("v")
+            values, ids = _sketches(b"".join(members["sketch"])), members["v"].to_numpy(np.int64)
+            mine = members["strange"].to_numpy(bool)
+            for s, sketch in zip(strangers["s"], strangers["of_s"]):
+                alike = (values == _sketches(sketch)).mean(axis=1) >= CANDIDATE
+                found += [(v, s) for v in ids[alike & mine] if v != s]
+                found += [(v, s) for v in ids[alike & ~mine][:1]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return (
+        asked.groupBy(*keys)
+        .cogroup(asking.groupBy(*keys))
+        .applyInPandas(compare, "a long, b long")
+    )
 
 
 def _sized(paths: DataFrame) -> DataFrame:
@@ -163,36 +271,56 @@ def _sized(paths: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame, runs: int) -> DataFrame:
-    """``a, b``: links between members whose sketches agree, enough to connect all such."""
-    agreement = F.pandas_udf(_agreement, "double")
-    members = members.filter("sketch is not null")
+    """``a, b``: links between members whose sketches agree, enough to connect all such.
+
+    The first runs go ahead: members that leave there, very close to a pivot that
+    stays, take no part in the others.
+    """
+    left = members.filter("sketch is not null").select("v", "roots", "sketch")
+    ahead = min(AHEAD, runs)
+    found, gone = _run(left, range(ahead))
+    if ahead < runs:
+        left = written(left.join(gone, "v", "left_anti"), "members")
+        found += _run(left, range(ahead, runs))[0]
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links.distinct()
+
+
+def _run(members: DataFrame, runs: range) -> tuple[list[DataFrame], DataFrame]:
+    """Links of some runs, and the members that no further run needs."""
     sketch_of = members.select("v", "sketch")
-    roots = members.select("v", F.posexplode("roots").alias("run", "root")).select(
-        "v", F.xxhash64("run", "root").alias("path")
+    some = F.slice("roots", F.lit(runs.start + 1), F.lit(len(runs)))
+    roots = members.select("v", F.posexplode(some).alias("run", "root")).select(
+        "v", F.xxhash64(F.col("run") + F.lit(runs.start), "root").alias("path")
     )
     level = written(_sized(roots).join(sketch_of, "v"), "paths")
-    found = []
+    found, gone = [], []
     for split in range(SPLITS + 1):
         small = level.filter(F.col("size") <= BLOCK)
-        found.append(small.groupBy("path").applyInPandas(_compare_bucket, "a long, b long"))
+        found.append(
+            _dealt(small, TASK_ROWS, "path")
+            .groupBy("path")
+            .applyInPandas(_compare_bucket, "a long, b long")
+        )
         large = level.filter(F.col("size") > BLOCK)
         if large.isEmpty():
             break
-        pivots = large.groupBy("path").agg(
-            F.min("v").alias("pivot"), F.min_by("sketch", "v").alias("of_pivot")
-        )
-        judged = written(
-            large.join(pivots, "path").withColumn("alike", agreement("sketch", "of_pivot")),
-            "pivots",
-        ).drop("of_pivot")
+        judged = written(_against_pivot(large), "pivots")
+        alike = F.col("alike") >= CANDIDATE
         found.append(
-            judged.filter((F.col("alike") >= CANDIDATE) & (F.col("v") != F.col("pivot"))).select(
+            judged.filter(alike & (F.col("v") != F.col("pivot"))).select(
                 F.col("v").alias("a"), F.col("pivot").alias("b")
             )
         )
-        # Where the pivot has a link to all, it connects the bucket and nothing is left.
-        open_ = judged.filter(F.col("alike") < CANDIDATE).select("path").distinct()
-        rest = judged.filter(F.col("alike") < CLOSE).join(open_, "path", "left_semi")
+        # Who leaves has a smaller one very close, so the smallest of such always stays.
+        close = (F.col("alike") >= CLOSE) & (F.col("v") > F.col("pivot"))
+        gone.append(judged.filter(close).select("v"))
+        # The pivot has connected all but the strangers. A few of them are compared with
+        # the whole bucket, which settles it; of more the bucket is split.
+        found.append(_few_strangers(judged.filter(f"strangers BETWEEN 1 AND {STRANGERS}")))
+        rest = judged.filter((F.col("strangers") > STRANGERS) & (F.col("alike") < CLOSE))
         if split == SPLITS:
             found.append(_in_blocks(rest))
             break
@@ -207,10 +335,12 @@ def candidates(members: DataFrame, runs: int) -> DataFrame:
             )
         )
         level = written(_sized(children), "paths")
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return links.distinct()
+    if not gone:
+        return found, members.select("v").limit(0)
+    every = gone[0]
+    for more in gone[1:]:
+        every = every.union(more)
+    return found, every.distinct()
 
 
 def _in_blocks(rest: DataFrame) -> DataFrame:
@@ -281,27 +411,34 @@ def linked_classes(
     """``doc_id, class_id, n_links`` of every row of ``docs``."""
     runs = min(SKETCH, runs_for(threshold, recall))
     rows = written(sketches(docs, n, runs), "sketches")
+    # A member is a text: it is numbered once, and ids come back at the end. Several
+    # texts may share an id, and all rows of a text may lack one.
     members = written(
         rows.groupBy("key")
         .agg(
-            F.coalesce(F.min("doc_id"), F.xxhash64("key")).alias("v"),
+            F.coalesce(F.min("doc_id"), F.xxhash64(F.lower(F.hex("key")))).alias("own"),
             F.count(F.lit(1)).alias("copies"),
-            # Equal texts have equal ones; min_by would be null where all ids are.
+            # Equal texts have equal ones.
             F.first("roots").alias("roots"),
             F.first("sketch").alias("sketch"),
-        ),
+        )
+        .withColumn("v", F.monotonically_increasing_id()),
         "members",
     )
     groups = components(candidates(members, runs)).withColumnRenamed("component", "grp")
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     grouped = written(
-        groups.join(sizes, "grp").join(members.select("v", "copies"), "v"), "groups"
+        groups.join(sizes, "grp").join(members.select("v", "key", "copies"), "v"), "groups"
     )
-    texts = texts_of(docs).withColumn("v", F.coalesce("doc_id", F.xxhash64(F.sha2("text", 256))))
+    texts = texts_of(docs).select("text", _digest("text").alias("key"))
     if grouped.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(grouped), "v")
+        texts = texts.join(F.broadcast(grouped), "key")
     else:
-        texts = texts.join(grouped, "v")
+        texts = texts.join(grouped, "key")
+    # One row of each text, copies reduced in the tasks that read them.
+    texts = written(
+        texts.groupBy("v", "grp", "copies", "size").agg(F.first("text").alias("text")), "texts"
+    )
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
@@ -316,19 +453,23 @@ def linked_classes(
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
         .drop("other")
+        .repartition(max(1, -(-texts.count() // TASK_TEXTS)), "grp", "i", "j")
         .groupBy("grp", "i", "j")
         .applyInPandas(verify, "v long, links long, name long"),
         "verified",
     )
     links = verified.groupBy("v").agg(F.sum("links").alias("links"))
     classes = components(verified.filter("v <> name").select(F.col("v").alias("a"), F.col("name").alias("b")))
+    named = classes.join(members.select("v", "own"), "v")
+    smallest = named.groupBy("component").agg(F.min("own").alias("class_id"))
+    of_class = named.join(smallest, "component").select("v", "class_id")
     known = (
-        members.select("key", "v", "copies")
+        members.select("key", "v", "own", "copies")
         .join(links, "v", "left")
-        .join(classes, "v", "left")
+        .join(of_class, "v", "left")
         .select(
             "key",
-            F.coalesce("component", "v").alias("class_id"),
+            F.coalesce("class_id", "own").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
