@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import itertools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradespec.llm import exact_dedup, jaccard_join, packing, quality, secrets
@@ -19,9 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
-    kept = exact_dedup.content_sort(docs).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")
-    )
+    kept = exact_dedup.content_sort(docs).filter("kept").select("doc_id", "text_sha256")
     return _matching(
         docs,
         kept,
@@ -40,7 +40,7 @@ def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         F.coalesce("doc_id", F.xxhash64(F.sha2("text", 256))).alias("_own"),
     )
     heads = classes.select(F.col("class_id").alias("_own")).distinct()
-    kept = named.join(heads, "_own").select(F.col("doc_id").alias("_id"), "_digest")
+    kept = named.join(heads, "_own").select("doc_id", "_digest")
     return _matching(docs, kept, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
 
@@ -60,21 +60,30 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, tokenizer_path())
 
 
-def _matching(docs: DataFrame, kept: DataFrame, digest) -> DataFrame:
-    """Rows of ``docs`` whose id and digest are kept; rows repeated whole stay once."""
+def _matching(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
+    """Rows of ``docs`` whose id and digest are those of ``kept``; rows repeated whole
+    stay once."""
     names = docs.columns
-    kept = written(kept.distinct(), "kept")
-    found = docs.withColumn("_digest_of_text", digest).join(
+    own, kept_id, kept_digest = _unused(names, 3)
+    kept = written(kept.toDF(kept_id, kept_digest).distinct(), "kept")
+    found = docs.withColumn(own, digest).join(
         kept,
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest_of_text") == F.col("_digest")),
+        F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_digest)),
         "left_semi",
     )
     unique = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     if not unique:
-        found = found.dropDuplicates(["doc_id", "_digest_of_text"])
+        found = found.dropDuplicates(["doc_id", own])
     return found.select(*names)
 
 
+def _unused(names: list[str], count: int) -> list[str]:
+    """Column names that a table does not have, whatever its upper and lower case."""
+    taken = {n.lower() for n in names}
+    free = (f"matched_{i}" for i in itertools.count())
+    return list(itertools.islice((n for n in free if n not in taken), count))
+
+
 STAGES = [
     ("quality_classifier", quality_stage),
     ("exact_dedup", exact_dedup_stage),
