@@ -108,8 +108,8 @@ def test_dataset_folder(spark, tmp_path):
     assert as_set(named, "code") == {("0101",)}
     with pytest.raises(ValueError):
         landed.read_dataset(spark, folder, "readme.txt")
-    with pytest.raises(AnalysisException):
-        landed.read_dataset(spark, folder, "missing.csv")
+    absent = landed.read_dataset(spark, folder, "absent.csv", absent="code string")
+    assert absent.columns == ["code"] and absent.isEmpty()
 
 
 def test_tables_round_trip_and_missing_file(spark, tmp_path, frame):

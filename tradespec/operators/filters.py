@@ -33,6 +33,16 @@ def in_list(column: Column | str, values: Sequence | None) -> Column:
     return c.isin(list(values)) if values else F.lit(True)
 
 
+def among(df: DataFrame, column: str, values: Sequence) -> Column:
+    """Whether a column is one of the values.
+
+    They take the column's type, never the other way round: the filter stays one
+    that a scan can use, and a value of another type cannot fail.
+    """
+    kind = df.schema[column].dataType
+    return F.col(column).isin([F.lit(v).try_cast(kind) for v in values])
+
+
 def members(
     df: DataFrame, column: str, values: Sequence | DataFrame | None
 ) -> DataFrame:
@@ -48,10 +58,7 @@ def members(
         return df.join(wanted, column, "left_semi")
     if not values:
         return df
-    # The values take the column's type, never the other way round: the filter
-    # stays one that a scan can use, and a value of another type cannot fail.
-    kind = df.schema[column].dataType
-    return df.where(F.col(column).isin([F.lit(v).try_cast(kind) for v in values]))
+    return df.where(among(df, column, values))
 
 
 def code_between(
@@ -103,13 +110,17 @@ class Selection:
     years: tuple[int, ...] = field(default=())
     products: tuple[str, ...] = field(default=())
 
-    def condition(self) -> Column:
+    def condition(self, table: DataFrame) -> Column:
+        """The values take the types of the table's columns; one that has no such type
+        selects nothing and does not fail."""
         chosen = (
             (names.STATE, self.states),
             (names.YEAR, self.years),
             (names.CODE, self.products),
         )
-        return reduce(and_, (in_list(c, v) for c, v in chosen if v), F.lit(True))
+        return reduce(
+            and_, (among(table, c, values) for c, values in chosen if values), F.lit(True)
+        )
 
     def apply(self, exports: DataFrame) -> DataFrame:
-        return exports.where(self.condition())
+        return exports.where(self.condition(exports))

@@ -71,7 +71,7 @@ ONE_YEAR_2023 = RecordFilter(partner2Code="0")
 def _matches(column: str, value: str) -> Column:
     wanted = [part.strip() for part in value.split(",")]
     if column == "period":
-        return F.col(column).isin([int(part) for part in wanted])
+        return F.col(column).isin([F.lit(part).try_cast("bigint") for part in wanted])
     if column != "cmdCode":
         return F.col(column).isin(wanted)
     levels = [int(m.group(1)) for m in map(_LEVEL.fullmatch, wanted) if m]

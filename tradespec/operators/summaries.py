@@ -158,7 +158,7 @@ def headline_numbers(
 
     value = F.col(names.FOB)
     sums = exports.agg(
-        total(F.when(selection.condition(), value), "selected_total"),
+        total(F.when(selection.condition(exports), value), "selected_total"),
         total(value, "overall_total"),
     )
     return sums.select(

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tradespec.operators.filters import equal_to, latest
 from tradespec.sources.landed import read_dataset, read_payload_rows
 from tradespec.sources.readers import read_trade_records
-from tradespec.sources.schemas import EXPORTS
+from tradespec.sources.schemas import COUNTRY_PRODUCT, EXPORTS
 from tradespec.sources.sinks import write_csv
 from tradespec.sources.tables import (
     COUNTRY_PRODUCT_FILE,
@@ -29,7 +29,11 @@ def landed_exports(spark: SparkSession, payloads: str) -> DataFrame:
 def landed_country_product(spark: SparkSession, folder: str) -> DataFrame:
     """Latest year of the country-product table, product codes kept as text."""
     table = read_dataset(
-        spark, folder, DATASET_TABLE, {"product_hs92_code": T.StringType()}
+        spark,
+        folder,
+        DATASET_TABLE,
+        {"product_hs92_code": T.StringType()},
+        absent=COUNTRY_PRODUCT,
     )
     return latest(table)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,22 +67,20 @@ def _typed(text: Column, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
+def _files_of(spark: SparkSession, path: str) -> tuple:
+    """The file system that a path belongs to, and the path as it knows it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
 def list_tables(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[str]:
     """Names directly under ``folder`` that end in ``suffix``, files or folders.
 
-    Only paths are read, never contents; the list has one entry per table.
+    One listing of one level, however many part files the tables have.
     """
-    root = folder.rstrip("/")
-    parts = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path")
-    )
-    below = F.substring_index(F.col("path"), f"/{root.rsplit('/', 1)[-1]}/", -1)
-    names = parts.select(F.substring_index(below, "/", 1).alias("name")).distinct()
-    found = names.where(F.col("name").endswith(suffix)).orderBy("name").collect()
-    return [row["name"] for row in found]
+    files, root = _files_of(spark, folder)
+    names = (status.getPath().getName() for status in files.listStatus(root))
+    return sorted(name for name in names if name.endswith(suffix))
 
 
 def read_dataset(
@@ -90,20 +89,33 @@ def read_dataset(
     target: str | None = None,
     overrides: dict[str, T.DataType] | None = None,
     reader: Callable[..., DataFrame] = read_inferred_csv,
+    absent: str | T.StructType = "",
+    failed: dict[str, str] | None = None,
 ) -> DataFrame | dict[str, DataFrame]:
     """CSV tables of a landed data set: the named one, or all of them by name.
 
-    Read all together, a table takes those overrides whose columns it has.
+    A named table that is not there is empty, with the columns ``absent``. Read all
+    together, a table takes those overrides whose columns it has; one that cannot
+    be read raises, or if ``failed`` is given is left out and noted there.
     """
     root = folder.rstrip("/")
     if target is not None:
         if not target.endswith(".csv"):
             raise ValueError(f"not a CSV table: {target}")
+        files, path = _files_of(spark, f"{root}/{target}")
+        if not files.exists(path):
+            kind = T.StructType.fromDDL(absent) if isinstance(absent, str) else absent
+            return spark.createDataFrame([], kind)
         return reader(spark, f"{root}/{target}", overrides)
     tables = {}
     for name in list_tables(spark, root):
         path = f"{root}/{name}"
-        header = spark.read.csv(path, header=True, **QUOTING).columns
-        own = {c: t for c, t in (overrides or {}).items() if c in header}
-        tables[name] = reader(spark, path, own)
+        try:
+            header = spark.read.csv(path, header=True, **QUOTING).columns
+            own = {c: t for c, t in (overrides or {}).items() if c in header}
+            tables[name] = reader(spark, path, own)
+        except PySparkException as error:
+            if failed is None:
+                raise
+            failed[name] = str(error)
     return tables
