@@ -587,7 +587,11 @@ def _(spark, folder):
     records = star.trade_records(spark, folder).withColumn(
         "lane", F.when(F.col("refMonth") % 3 == 0, F.lit("0000")).otherwise(F.col("cmdCode"))
     )
-    others = spark.createDataFrame([("0000", 0), ("9999", 0)], "code string, export_value long")
+    hot = F.col("id") == 0
+    others = spark.range(2).select(
+        F.when(hot, F.lit("0000")).otherwise(F.lit("9999")).alias("code"),
+        F.lit(0).cast("long").alias("export_value"),
+    )
     products = (
         star.country_product(spark, folder)
         .groupBy(F.col("product_hs92_code").alias("code"))
