@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 
+from tradespec.llm.words import WordCache
+
 #: Bytes hashed at once; a longer word is still hashed as one.
 PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -104,6 +107,27 @@ def texts_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(counts)
 
 
+def texts_word_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the words of many texts in a row, and how many
+    words each text has.
+
+    They are the halves of a cryptographic digest, so no texts can be made whose words
+    agree in them. Words are split at the white space of ASCII, as in ``word_hashes``.
+    """
+    digests = WordCache(lambda w: hashlib.blake2b(w, digest_size=16).digest())
+    counts, parts = [], []
+    for text in texts:
+        words = text.split()
+        counts.append(len(words))
+        parts.append(b"".join(map(digests.__getitem__, words)))
+    pairs = np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
+    return (
+        np.ascontiguousarray(pairs[:, 0]),
+        np.ascontiguousarray(pairs[:, 1]),
+        np.array(counts, np.int64),
+    )
+
+
 def windows(hashes: np.ndarray, counts: np.ndarray, size: int, seed: int = 1):
     """Hashes of all runs of ``size`` words within one text, and where they start."""
     number = len(hashes) - size + 1
