@@ -1,7 +1,9 @@
 """Windows whose words were made to agree in a polynomial hash stay apart."""
 
+import pytest
+
 from tradespec.llm import substring_dedup
-from tradespec.llm.wordhash import texts_word_digests
+from tradespec.llm.wordhash import PIECE, texts_word_pairs
 
 
 def thue_morse(size, one, other):
@@ -21,12 +23,23 @@ def test_thue_morse_words_are_different(spark):
 
 def test_words_are_split_at_ascii_white_space_only():
     text = "a\x0bb\x1cc d\x85e\xa0f\tg".encode()
-    one, other, counts = texts_word_digests([text, b"", b" \n ", b"g a"])
+    one, other, counts = texts_word_pairs([text, b"", b" \n ", b"g a"])
     assert counts.tolist() == [4, 0, 0, 2]
     assert one[3] == one[4] and one[0] == one[5] and other[0] == other[5]
     assert len(set(one.tolist())) == 4 and not (one == other).any()
 
 
+@pytest.mark.parametrize("size", [32, 64, 65, 128, 1024])
+def test_words_hash_by_content_at_any_place(size):
+    a, b = thue_morse(size, "a", "b").encode(), thue_morse(size, "b", "a").encode()
+    filler = b"x " * (PIECE - 7)
+    one, other, counts = texts_word_pairs([a + b" " + b, filler + a, b"", b, a[:-1]])
+    assert counts.tolist() == [2, PIECE - 6, 0, 1, 1]
+    assert one[0] == one[-3] and other[0] == other[-3]
+    assert one[1] == one[-2] and other[1] == other[-2]
+    assert len({*one[[0, 1, -1]].tolist(), *other[[0, 1, -1]].tolist()}) == 6
+
+
 def test_very_long_word_and_repeated_rows(spark):
     text = " ".join(["x" * 3_000_000, *(f"w{i}" for i in range(15))])
     docs = spark.createDataFrame(

@@ -5,8 +5,8 @@ windows: one cell number of a wide count-min row per distinct window, sorted and
 packed by ranges of cells. Merged by range, the sketches overestimate in how many
 groups a window occurs, never the reverse, and each group gets back one bit per
 cell: counted again elsewhere or not. Only windows with that bit set are then
-grouped exactly, by two hashes of the word sequence made of the two halves of a
-cryptographic digest of every word, and again each group gets
+grouped exactly, by two hashes of the word sequence, made of two independent hashes
+of every word, and again each group gets
 back one bit per distinct window: whether a smaller document id has it in another
 group. Windows repeated within a group are settled there. A window that a third
 of all documents share is thus sent once per group.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradespec.llm.common import texts_of
-from tradespec.llm.wordhash import texts_word_digests, windows
+from tradespec.llm.wordhash import texts_word_pairs, windows
 
 WINDOW = 13
 #: Bytes of text in a group, groups whose sketches a range of cells is cut for,
@@ -48,7 +48,7 @@ class _Group:
         self.order = np.argsort(self.ids, kind="stable")
         self.raw = [rows["text"].iat[i].encode("utf-8", "replace") for i in self.order]
         self.ids = self.ids[self.order]
-        one, other, self.counts = texts_word_digests(self.raw)
+        one, other, self.counts = texts_word_pairs(self.raw)
         self.first, self.starts = windows(one, self.counts, size)
         if exact:
             self.second, _ = windows(other, self.counts, size, seed=2)

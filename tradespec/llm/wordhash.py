@@ -7,10 +7,10 @@ import hashlib
 
 import numpy as np
 
-from tradespec.llm.words import WordCache
-
 #: Bytes hashed at once; a longer word is still hashed as one.
 PIECE = 1 << 20
+#: The longest word, in bytes, whose pair of hashes comes from tables.
+SHORT = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -56,7 +56,39 @@ def _piece(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, mixed((sums[ends] - sums[starts]) * inverses[starts])
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=1)
+def _tables() -> np.ndarray:
+    """Two random numbers for every byte at every place of a short word."""
+    return np.random.default_rng(61).integers(0, 2**64, (2, SHORT * 256), dtype=np.uint64)
+
+
+def _pairs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_piece``, with two hashes a word that share nothing.
+
+    A short word's hash adds up a random number for each of its bytes at its place; a
+    longer word's is half of a cryptographic digest.
+    """
+    space = _SPACE[raw]
+    change = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts, ends = change[::2], change[1::2]
+    hashes = np.empty((len(starts), 2), np.uint64)
+    if not len(starts):
+        return starts, ends, hashes
+    begun = np.zeros(len(raw), np.int64)
+    begun[starts] = starts
+    place = np.arange(len(raw)) - np.maximum.accumulate(begun)
+    place = (np.minimum(place, SHORT - 1) << 8) | raw
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    for i, table in enumerate(_tables()):
+        np.cumsum(table[place], out=sums[1:])
+        hashes[:, i] = mixed(sums[ends] - sums[starts])
+    for i in np.flatnonzero(ends - starts > SHORT):
+        digest = hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=16).digest()
+        hashes[i] = np.frombuffer(digest, "<u8")
+    return starts, ends, hashes
+
+
+def word_hashes(raw: bytes, of_piece=_piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts, byte ends and hashes of all words of a text.
 
     Words are runs of bytes other than blanks and the controls 0x09 to 0x0D.
@@ -72,7 +104,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 stop += int(gap[0])
                 break
             stop = min(len(data), stop + PIECE)
-        starts, ends, hashes = _piece(data[at:stop])
+        starts, ends, hashes = of_piece(data[at:stop])
         parts.append((starts + at, ends + at, hashes))
         at = stop
     if not parts:
@@ -81,18 +113,19 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def texts_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def texts_word_hashes(texts: list[bytes], of_piece=_piece) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of many texts in a row, and how many each text has."""
     counts, parts, held, size = [], [], [], 0
 
     def flush() -> None:
         if held:
             joined = b" ".join(held)
-            starts, _, hashes = word_hashes(joined)
+            starts, _, hashes = word_hashes(joined, of_piece)
             edges = np.cumsum([len(t) + 1 for t in held])
             of = np.searchsorted(edges, starts, side="right")
             counts.append(np.bincount(of, minlength=len(held)))
-            parts.append(hashes)
+            if len(hashes):
+                parts.append(hashes)
             held.clear()
 
     for text in texts:
@@ -102,30 +135,18 @@ def texts_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             flush()
             size = 0
     flush()
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(parts), np.concatenate(counts)
+    return (
+        np.concatenate(parts) if parts else np.empty(0, np.uint64),
+        np.concatenate(counts) if counts else np.empty(0, np.int64),
+    )
 
 
-def texts_word_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def texts_word_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of the words of many texts in a row, and how many
-    words each text has.
-
-    They are the halves of a cryptographic digest, so no texts can be made whose words
-    agree in them. Words are split at the white space of ASCII, as in ``word_hashes``.
-    """
-    digests = WordCache(lambda w: hashlib.blake2b(w, digest_size=16).digest())
-    counts, parts = [], []
-    for text in texts:
-        words = text.split()
-        counts.append(len(words))
-        parts.append(b"".join(map(digests.__getitem__, words)))
-    pairs = np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
-    return (
-        np.ascontiguousarray(pairs[:, 0]),
-        np.ascontiguousarray(pairs[:, 1]),
-        np.array(counts, np.int64),
-    )
+    words each text has."""
+    pairs, counts = texts_word_hashes(texts, _pairs)
+    pairs = pairs.reshape(-1, 2)
+    return np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), counts
 
 
 def windows(hashes: np.ndarray, counts: np.ndarray, size: int, seed: int = 1):
