@@ -37,7 +37,7 @@ TRAINING_ROWS = 8_000
 THRESHOLD = 0.3
 #: A feature is in so many training documents.
 LEAST_DOCUMENTS = 4
-#: Folds that choose the penalty, and the penalties, in documents' pull on a weight.
+#: One of so many folds chooses among the penalties, which are given in documents' pull on a weight.
 FOLDS = 3
 PENALTIES = (4.0, 2.0, 1.0, 0.5, 0.25, 0.125)
 #: The most a sentence without known words counts, as log odds: a thousand such
@@ -165,12 +165,12 @@ class _Noisy:
 def fit(rows: pd.DataFrame, epochs: int = 40, rate: float = 0.3) -> bytes:
     """Train on ``text`` and ``label``; the model's features and their weights.
 
-    The penalty is the one of ``PENALTIES`` with the least log loss over ``FOLDS``
-    folds of the rows, each judged by a model of the others. They are tried from the
+    The penalty is the one of ``PENALTIES`` whose model of the other rows has the least
+    log loss on every ``FOLDS``-th row of either label. They are tried from the
     largest down until the loss has been above its least for two in a row.
     """
     labels = rows["label"].to_numpy(float)
-    # Rows of either label in turn, so that every fold has its share of both.
+    # Rows of either label in turn, so that a fold has its share of both.
     fold = np.zeros(len(labels), np.int64)
     for mark in (labels > 0, labels <= 0):
         fold[mark] = np.arange(mark.sum()) % FOLDS
@@ -179,12 +179,8 @@ def fit(rows: pd.DataFrame, epochs: int = 40, rate: float = 0.3) -> bytes:
     if len(bags.owner) and FOLDS <= (labels > 0).sum() <= len(labels) - FOLDS:
         noisy, losses = _Noisy(bags, labels), []
         for penalty in PENALTIES:
-            losses.append(
-                sum(
-                    noisy.loss(fold == f, *noisy.fitted((fold != f) * 1.0, penalty, epochs, rate))
-                    for f in range(FOLDS)
-                )
-            )
+            model = noisy.fitted((fold > 0) * 1.0, penalty, epochs, rate)
+            losses.append(noisy.loss(fold == 0, *model))
             if len(losses) - np.argmin(losses) > 2:
                 break
         best = PENALTIES[int(np.argmin(losses))]
