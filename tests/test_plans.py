@@ -161,6 +161,26 @@ def test_a_third_of_the_records_under_one_key_is_split(spark):
     assert sorted(r["key"] for r in rows if r["id"] is None) == ["k97", "k98"]
 
 
+def test_the_part_of_a_right_row_is_not_worked_out_in_the_joins_below(spark, tmp_path):
+    spark.range(300).selectExpr("id % 5 AS k", "id AS n").write.parquet(f"{tmp_path}/lines")
+    spark.range(300).selectExpr("id AS m", "id % 3 AS o").write.parquet(f"{tmp_path}/orders")
+    lines, orders = (spark.read.parquet(f"{tmp_path}/{t}") for t in ("lines", "orders"))
+    records = lines.join(orders, lines.n == orders.m).select(
+        F.when(F.col("o") == 0, F.lit("hot")).otherwise(F.col("k").cast("string")).alias("lane"), "n"
+    )
+    left = spark.createDataFrame([("hot", 1), ("3", 2), ("9", 3)], "key string, id long")
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        joined = left_join_many(left, records, ("key",), ("lane",), "_r", hot_rows=10)
+        plan = explain(joined)
+        rows = [(r["id"], r["n"]) for r in joined.collect()]
+    conditions = [x for x in plan.splitlines() if x.lower().startswith(("join condition", "condition"))]
+    assert conditions
+    assert not [x for x in conditions if "element_at" in x or "StructsToJson" in x]
+    assert sorted(n for i, n in rows if i == 1) == list(range(0, 300, 3))
+    assert sorted(n for i, n in rows if i == 2) == [n for n in range(300) if n % 3 and n % 5 == 3]
+    assert [n for i, n in rows if i == 3] == [None]
+
+
 def test_the_join_to_many_reads_each_side_once(spark, tmp_path):
     paths = {}
     for side in ("left", "right"):

@@ -114,10 +114,11 @@ def left_join_many(
         text = F.when(F.size(hot) > 0, _spelled(df, names))
         return df.withColumn("__spelled", text).withColumn("__parts", parts(df, names)).drop("__spelled")
 
+    # A part is never null. If it could be, Spark would ask the joins that make the
+    # rows for one that is not, and evaluate the lookup there, many times per row.
+    own = F.pmod(F.xxhash64(*prepared.columns), F.col("__parts")).cast("int")
     dealt = spelled(prepared, keys).withColumn(
-        "__part",
-        F.when(F.col("__parts") > 1, F.pmod(F.xxhash64(*prepared.columns), F.col("__parts")).cast("int"))
-        .otherwise(F.lit(0)),
+        "__part", F.coalesce(F.when(F.col("__parts") > 1, own), F.lit(0))
     )
     dealt = dealt.drop("__parts").withColumn("__match", F.lit(True))
     every = spelled(left, left_on).withColumn(
