@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from tradespec.llm import components as components_module
 from tradespec.llm import jaccard_join
+from tradespec.llm.common import written
 from tradespec.llm.components import components
 
 
@@ -115,3 +117,22 @@ def test_components_of_random_graphs(spark):
     assert {r.v: r.component for r in found} == {v: root(v) for v in list(parent)}
     assert len(found) == len(parent)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_no_query_holds_the_links_of_all_splits(spark, threshold_pairs, monkeypatch):
+    """The driver plans a few shuffles at a time, however often buckets are split."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 24)
+    monkeypatch.setattr(jaccard_join, "STRANGERS", 3)
+    shuffles, splits = [], []
+
+    def counted(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles.append(plan.count("Exchange "))
+        splits.append(name == "paths")
+        return written(df, name)
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    monkeypatch.setattr(components_module, "written", counted)
+    found = {r.doc_id: r for r in linked(spark, threshold_pairs)}
+    assert sum(found[i].class_id == found[i + 1].class_id == i for i in range(0, 480, 2)) >= 237
+    assert sum(splits) > 4 and max(shuffles) <= 8
